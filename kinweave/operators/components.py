@@ -35,27 +35,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    ).first()
-    return tuple(row)
+def _all_stars(edges: DataFrame) -> bool:
+    """True when every node hangs off exactly one other and that one off none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    roles = ends.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return roles.filter("low > 1 or (low = 1 and high = 1)").isEmpty()
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edge list (u, v).
 
-    The label is the lowest id of the component. Each round ends in a checkpoint, so the plan stays
-    flat; the rounds stop when the edge set repeats, which is when every node hangs off its label.
+    The label is the lowest id of the component. Each round ends in a written table, so the plan
+    stays flat; the rounds stop when the edges are stars around the labels.
     """
-    edges = materialize(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
-    seen = _fingerprint(edges)
-    while seen[0]:
+    edges = materialize(_small_star(_large_star(edges.filter(F.col("u") != F.col("v")))))
+    while not _all_stars(edges):
         edges = materialize(_small_star(_large_star(edges)))
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

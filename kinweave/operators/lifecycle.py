@@ -189,19 +189,22 @@ def lifecycle(
         ),
     )
     columns = anchored.columns
-    rows = materialize(
+    rows = (
         anchored.withColumnRenamed("component", "node").join(components, "node", "left")
         .withColumn("component", F.coalesce("component", "node")).select(*columns)
     )
-    sizes = rows.groupBy("component").count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest <= block_events:
+    if checked.count() + mentions.count() <= block_events:
         facts = _fold_rows(rows)
     else:
-        large = sizes.filter(F.col("count") > block_events).select("component")
-        facts = _fold_rows(rows.join(large, "component", "left_anti").select(*columns)).union(
-            _fold_in_blocks(rows.join(large, "component", "left_semi").select(*columns), block_events)
+        rows = materialize(rows)
+        large = materialize(
+            rows.groupBy("component").count().filter(F.col("count") > block_events).select("component")
         )
+        facts = _fold_rows(rows.join(large, "component", "left_anti").select(*columns))
+        if not large.isEmpty():
+            facts = facts.union(
+                _fold_in_blocks(rows.join(large, "component", "left_semi").select(*columns), block_events)
+            )
     facts = materialize(facts)
     members = _members(creates, facts, version_rows_per_chunk)
     return Lifecycle(materialize(members), _rejected(checked, mentions, facts), components)
@@ -220,6 +223,7 @@ def _rejected(checked: DataFrame, mentions: DataFrame, facts: DataFrame) -> Data
     )
     return (
         checked.join(lost, "event_id", "left")
+        .withColumn("missing_ids", F.when(F.col("reason").isNull(), F.col("missing_ids")))
         .withColumn("reason", F.coalesce("reason", F.when(F.col("missing_ids").isNotNull(), "UNKNOWN_ID")))
         .filter("reason is not null")
         .select("event_id", "kind", "pos", "topic", "offset", "event_key", "reason", "missing_ids")
