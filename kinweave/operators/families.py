@@ -29,11 +29,18 @@ def preferred_son(routed: DataFrame) -> DataFrame:
              *[F.col("_last")[name].alias(name) for name in [*_ORDER, "attributes"]])
 
 
-def seeds(routed: DataFrame, members: DataFrame, how: str, rows_per_chunk: int = RECORD_SONS_PER_CHUNK) -> DataFrame:
+def seeds(
+    routed: DataFrame,
+    members: DataFrame,
+    how: str,
+    rows_per_chunk: int = RECORD_SONS_PER_CHUNK,
+    known: DataFrame | None = None,
+) -> DataFrame:
     """(family_id, version_seq, system_uuid, seed): what a son starts a version with.
 
     ``own``: the last report of the version right before, if that version bore the son's own id.
-    ``carry``: the son's last attributes from any earlier version. ``none``: no rows.
+    ``carry``: the son's last attributes from any earlier version. ``none``: no rows. ``known``
+    holds rows of ``son_latest`` from earlier runs; where both have a row, ``routed`` is newer.
     """
     columns = [*VERSION, "system_uuid", "seed"]
     if how not in SEEDS:
@@ -46,19 +53,23 @@ def seeds(routed: DataFrame, members: DataFrame, how: str, rows_per_chunk: int =
     if how == "own":
         # such a version always has one son, so its last report is that son's
         ended = ended.filter((F.col("n_sons") == 1) & (F.col("family_id") == F.col("reporter_uuid")))
-        last = son_latest(ended).select(
+    last = son_latest(ended).select(*VERSION, "system_uuid", F.col("attributes").alias("_last"))
+    if known is not None:
+        earlier = known.join(last, [*VERSION, "system_uuid"], "left_anti")
+        last = last.unionByName(earlier.select(*VERSION, "system_uuid", F.col("attributes").alias("_last")))
+    if how == "own":
+        heirs = members.filter(F.col("prev_family_id") == F.col("system_uuid"))
+        last = last.select(
             F.col("family_id").alias("prev_family_id"), F.col("version_seq").alias("prev_version_seq"),
-            "system_uuid", F.col("attributes").alias("seed"),
+            "system_uuid", F.col("_last").alias("seed"),
         )
-        heirs = members.filter(F.col("prev_family_id") == F.col("system_uuid"))
         return heirs.join(last, ["prev_family_id", "prev_version_seq", "system_uuid"]).select(*columns)
-    last = son_latest(ended).select(*VERSION, "system_uuid", F.col("attributes").alias("_last"))
     history = members.filter(F.col("v_to").isNotNull() | F.col("prev_family_id").isNotNull()).select(
         *VERSION, "system_uuid", "source_step"
     ).join(last, [*VERSION, "system_uuid"], "left")
     cuts = position_cuts(history.select("source_step"), "source_step", rows_per_chunk)
-    known = previous_known(history, ["system_uuid"], ["source_step"], "_last", "seed", cuts)
-    return known.filter(F.col("seed").isNotNull()).select(*columns)
+    carried = previous_known(history, ["system_uuid"], ["source_step"], "_last", "seed", cuts)
+    return carried.filter(F.col("seed").isNotNull()).select(*columns)
 
 
 def _of_one_source(rows: DataFrame) -> DataFrame:

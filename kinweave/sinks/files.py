@@ -30,7 +30,10 @@ def print_rows(stream: DataFrame, name: str):
     return stream.writeStream.format("console").queryName(name).option("truncate", "false").start()
 
 
-def for_each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
+def for_each_batch(
+    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None, **trigger
+):
     """Hand every micro-batch to a function (K5)."""
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(**trigger) if trigger else writer).start()
