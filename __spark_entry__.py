@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,13 +20,17 @@ from kinweave.operators.lifecycle import Lifecycle, lifecycle  # noqa: E402
 from kinweave.operators.ordered import ordered_concat, position_cuts, take_while_inclusive  # noqa: E402
 from kinweave.plans.fusion import Fusion, fuse  # noqa: E402
 from kinweave.schemas import ENTITY_FAMILY  # noqa: E402
-from kinweave.session import tune  # noqa: E402
+from kinweave.session import checkpoint_dir, tune  # noqa: E402
+from kinweave.sinks.files import batch_table  # noqa: E402
 from kinweave.sinks.topics import update_messages  # noqa: E402
 from kinweave.sources.bindings import (  # noqa: E402
     b1_bad_topics, b1_control, b1_reports, log_lines, table,
 )
 from kinweave.sources.files import lines_of_texts  # noqa: E402
 from kinweave.sources.generators import inclusive_range  # noqa: E402
+from kinweave.streaming.control import stop, throttled_files  # noqa: E402
+from kinweave.streaming.engine import FusionStream, unified  # noqa: E402
+from kinweave.streaming.latest import latest_per_source, latest_rows  # noqa: E402
 
 MEMBER_COLUMNS = (
     "family_id", "version_seq", "state", "v_from", "v_to", "n_sons", "son_ordinal", "system_uuid",
@@ -273,6 +278,74 @@ def file_lines(spark, sf_dir):
     return lines_of_texts(table(tune(spark), sf_dir, "documents"), "doc_id")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stream_updates(spark, sf_dir):
+    """The same records from a stream that arrives in two parts and is restarted between them."""
+    events = _events(spark, sf_dir)
+    folder = _scratch(spark, "stream-updates")
+    rows = unified(b1_control(events), b1_reports(events)).withColumn(
+        "part", F.col("pos") >= events.agg(F.floor(F.count(F.lit(1)) * 5 / 8).cast("bigint").alias("n")).scalar()
+    )
+    engine = FusionStream(spark, f"{folder}/state", "resume")
+    for part in (False, True):
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+        arrived = spark.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/in")
+        engine.start(arrived, f"fusion-{part}", f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return exploded_records(engine.state.read("updates"))
+
+
+def _event_stream(spark, sf_dir, folder, files=4, per_batch=None):
+    """All events as a stream over several files."""
+    events = _events(spark, sf_dir)
+    events.repartition(files).write.parquet(f"{folder}/in")
+    reader = spark.readStream.schema(events.schema)
+    if per_batch:
+        return throttled_files(spark, f"{folder}/in", events.schema, per_batch)
+    return reader.parquet(f"{folder}/in")
+
+
+def stream_latest(spark, sf_dir):
+    folder = _scratch(spark, "stream-latest")
+    reports = b1_reports(_event_stream(spark, sf_dir, folder, per_batch=2))
+    batch_table(
+        latest_per_source(reports), f"{folder}/out", f"{folder}/checkpoint", output_mode="update", availableNow=True
+    ).awaitTermination()
+    return latest_rows(spark.read.parquet(f"{folder}/out")).select(
+        "topic", "external_id", "pos", F.col("attributes.nickname").alias("nickname"),
+        F.col("attributes.speed").alias("speed"),
+    )
+
+
+def throttled_stream(spark, sf_dir):
+    """Every event arrives though each micro-batch admits one file only."""
+    folder = _scratch(spark, "throttled")
+    events = _event_stream(spark, sf_dir, folder, per_batch=1)
+    batch_table(events, f"{folder}/out", f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+
+
+def stop_by_name(spark, sf_dir):
+    """Three named pipelines over all events; B is stopped, the others finish undisturbed."""
+    folder = _scratch(spark, "stop-by-name")
+    events = _event_stream(spark, sf_dir, folder)
+    prefix = uuid.uuid4().hex
+    started = {
+        key: batch_table(events, f"{folder}/{key}", f"{folder}/checkpoint-{key}", name=f"{prefix}-{key}")
+        for key in ("A", "B", "C")
+    }
+    stop(spark, f"{prefix}-B")
+    for key in ("A", "C"):
+        started[key].processAllAvailable()
+        stop(spark, f"{prefix}-{key}")
+    return fan_in(*[
+        spark.read.parquet(f"{folder}/{key}").select(F.lit(key).alias("pipeline"), "event_id") for key in ("A", "C")
+    ])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Every report of the smallest data set as a family record, one row per son."""
     return family_updates("replay")(spark, "/root/testdata/sf0.001")
@@ -306,6 +379,10 @@ def queries() -> dict[str, Query]:
         "family_sons": family_sons,
         "published_updates": published_updates,
         "family_snapshot": family_snapshot,
+        "stream_updates": stream_updates,
+        "stream_latest": stream_latest,
+        "throttled_stream": throttled_stream,
+        "stop_by_name": stop_by_name,
         "merged_ranges": merged_ranges,
         "mapped_branches": mapped_branches,
         "tee_suffix": tee_suffix,

@@ -31,9 +31,23 @@ def print_rows(stream: DataFrame, name: str):
 
 
 def for_each_batch(
-    stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None, **trigger
+    stream: DataFrame,
+    step: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    name: str | None = None,
+    output_mode: str = "append",
+    **trigger,
 ):
     """Hand every micro-batch to a function (K5)."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(step).outputMode(output_mode).option("checkpointLocation", checkpoint)
     writer = writer.queryName(name) if name else writer
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def batch_table(stream: DataFrame, path: str, checkpoint: str, **options):
+    """A table with one partition per micro-batch; a batch run again overwrites its own (K1, K5)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return for_each_batch(stream, write, checkpoint, **options)

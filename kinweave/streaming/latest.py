@@ -17,3 +17,9 @@ def latest_per_source(reports: DataFrame) -> DataFrame:
     return reports.groupBy("topic", F.col("report.externalSystemID").alias("external_id")).agg(
         F.max_by(last, F.struct("pos", "offset")).alias("last")
     ).select("topic", "external_id", "last.pos", "last.offset", "last.attributes")
+
+
+def latest_rows(changes: DataFrame) -> DataFrame:
+    """The rows that hold, from a batch table of updates: per source those of its last batch."""
+    newest = changes.groupBy("topic", "external_id").agg(F.max("batch").alias("batch"))
+    return changes.join(newest, ["topic", "external_id", "batch"], "left_semi").drop("batch")

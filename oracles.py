@@ -204,6 +204,8 @@ LEFT JOIN live l ON l.family_id = x."entityID" WHERE x.r = 1"""
 last AS (SELECT topic, "externalSystemID" AS ext, max(pos) AS pos FROM reports GROUP BY ALL)
 SELECT l.topic, l.ext AS external_id, l.pos, r.nickname, r.speed FROM last l JOIN reports r ON r.pos = l.pos"""
 
+    sql["throttled_stream"] = "SELECT event_id, event_type FROM events"
+    sql["stop_by_name"] = "SELECT pipeline, event_id FROM events, (VALUES ('A'), ('C')) AS p(pipeline)"
     sql["merged_ranges"] = """
 SELECT 'orders' AS branch, unnest(range(a, b + 1)) AS value FROM (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders)
 UNION ALL
