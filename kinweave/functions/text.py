@@ -10,6 +10,7 @@ LEVEL_PATTERN = r".*\[(DEBUG|INFO|WARN|ERROR)\].*"
 UNKNOWN_LEVEL = "UNKNOWN"
 MAX_LINE_BYTES = 512
 WHITE_SPACE = r"[ \t\n\x0B\f\r]"
+WHITE_SPACE_CHARS = " \t\n\x0b\f\r"
 
 
 def log_level(line: Column) -> Column:
@@ -18,21 +19,15 @@ def log_level(line: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(UNKNOWN_LEVEL))
 
 
-def without_trailing_empty(parts: Column) -> Column:
-    """The array up to its last non-empty element."""
-    last = F.array_max(
-        F.transform(parts, lambda part, i: F.when(part != "", i + 1).otherwise(F.lit(0)))
-    )
-    return F.slice(parts, F.lit(1), last)
-
-
 def tokens(text: Column) -> Column:
     """Cut at every single white-space char: inner empty tokens stay, trailing ones go.
 
-    A text without any white space is one token, also when it is empty.
+    Trailing empty tokens come from trailing white space, so that is cut off first. A text without
+    any white space is one token, also when it is empty.
     """
-    parts = F.split(text, WHITE_SPACE, -1)
-    return F.when(F.size(parts) == 1, parts).otherwise(without_trailing_empty(parts))
+    kept = F.rtrim(text, F.lit(WHITE_SPACE_CHARS))
+    only_space = (kept == "") & (text != "")
+    return F.when(only_space, F.array().cast("array<string>")).otherwise(F.split(kept, WHITE_SPACE, -1))
 
 
 def framed_lines(text: Column, separator: str = "\n") -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import CHUNK, latest, position_cuts, previous_known, with_chunk
 from .routing import RECORD_ORDER, accepted
 
 SEEDS = ("own", "carry", "none")
 RECORD_SONS_PER_CHUNK = 4_000_000
+RECORDS_PER_BLOCK = 16
+RECORD_SONS_PER_TASK = 250_000
+MAX_TASKS = 100_000
 
 VERSION = ("family_id", "version_seq")
 _ORDER = list(RECORD_ORDER)
@@ -64,10 +69,11 @@ def seeds(
             "system_uuid", F.col("_last").alias("seed"),
         )
         return heirs.join(last, ["prev_family_id", "prev_version_seq", "system_uuid"]).select(*columns)
-    history = members.filter(F.col("v_to").isNotNull() | F.col("prev_family_id").isNotNull()).select(
+    steps = members.filter(F.col("v_to").isNotNull() | F.col("prev_family_id").isNotNull()).select(
         *VERSION, "system_uuid", "source_step"
-    ).join(last, [*VERSION, "system_uuid"], "left")
-    cuts = position_cuts(history.select("source_step"), "source_step", rows_per_chunk)
+    )
+    cuts = position_cuts(steps, "source_step", rows_per_chunk)
+    history = steps.join(last, [*VERSION, "system_uuid"], "left")
     carried = previous_known(history, ["system_uuid"], ["source_step"], "_last", "seed", cuts)
     return carried.filter(F.col("seed").isNotNull()).select(*columns)
 
@@ -104,7 +110,8 @@ def family_records(
     plain = told.filter((F.col("n_sons") == 1) & (F.col("state") == "NONE") & F.col("native"))
     grouped = told.filter(~((F.col("n_sons") == 1) & (F.col("state") == "NONE")))
 
-    cuts = _chunk_cuts(grouped, record_sons_per_chunk)
+    work, cuts = _chunk_cuts(grouped, record_sons_per_chunk)
+    tasks = min(max(math.ceil(work / RECORD_SONS_PER_TASK), 1), MAX_TASKS)
     start = members.filter("state <> 'NONE'").select(*VERSION, "son_ordinal", "system_uuid").join(
         seed_rows, [*VERSION, "system_uuid"], "left"
     )
@@ -121,29 +128,61 @@ def family_records(
         )
         opens = opens & F.col("_started").isNull()
 
-    # one row per record and son; the attributes ride on the reporter's row only
-    listed = grouped.select(
-        *keyed, *_ORDER, "reporter_ordinal", "reporter_uuid", "state", "attributes"
-    ).repartition(*keyed).join(start, keyed)
-    mine = F.when(F.col("son_ordinal") == F.col("reporter_ordinal"), F.col("attributes"))
-    in_order = Window.partitionBy(*keyed, "son_ordinal").orderBy(*_ORDER)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    listed = listed.withColumn("_known", F.coalesce(F.last(mine, ignorenulls=True).over(so_far), "seed"))
-    is_first = opens & (F.row_number().over(in_order) == 1)
-    listed = listed.withColumn("_state", F.when(is_first, F.col("state")).otherwise("NONE"))
-    son = F.struct(
-        F.col("son_ordinal"), F.col("system_uuid").alias("entityID"), F.col("_known").alias("entityAttributes")
+    return _of_one_source(plain).unionByName(
+        _of_several(grouped, start, keyed, opens, tasks)
+    ).withColumnRenamed("family_id", "entityID")
+
+
+def _of_several(grouped: DataFrame, start: DataFrame, keyed: list[str], opens: Column, tasks: int) -> DataFrame:
+    """Records of all other versions, after one exchange of the reports by ``keyed``.
+
+    The rows grow by the number of sons after that exchange, so its tasks are sized by what they
+    will put out, not by what they take in. The reports of a group are put in order and cut into short blocks. What each son knows is
+    carried from block to block by a window over (block, son) rows, and inside a block it is looked
+    up in the block's few reports. So the rows to sort are the reports and a small multiple of
+    sons, not one row per record and son.
+    """
+    in_order = Window.partitionBy(*keyed).orderBy(*_ORDER)
+    entry = F.struct(*_ORDER, "_n", "reporter_ordinal", "reporter_uuid", "attributes")
+    blocks = (
+        grouped.select(*keyed, *_ORDER, "reporter_ordinal", "reporter_uuid", "state", "attributes")
+        .repartition(tasks, *keyed).withColumn("_n", F.row_number().over(in_order))
+        .withColumn("_block", F.floor((F.col("_n") - 1) / RECORDS_PER_BLOCK))
+        .groupBy(*keyed, "_block")
+        .agg(F.sort_array(F.collect_list(entry)).alias("_entries"), F.first("state").alias("state"))
+    )
+    own = F.filter("_entries", lambda e: e["reporter_ordinal"] == F.col("son_ordinal"))
+    per_son = blocks.join(start.withColumn("_opens", opens), keyed).select(
+        *keyed, "_block", "son_ordinal", "system_uuid", "seed", "state", "_opens",
+        F.get(own, F.size(own) - 1)["attributes"].alias("_end"),
+        F.when(F.col("son_ordinal") == 0, F.col("_entries")).alias("_entries"),
+    )
+    earlier = Window.partitionBy(*keyed, "son_ordinal").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per_son = per_son.withColumn("_known", F.coalesce(F.last("_end", ignorenulls=True).over(earlier), "seed"))
+    whole = per_son.groupBy(*keyed, "_block").agg(
+        F.sort_array(F.collect_list(F.struct("son_ordinal", "system_uuid", "_known"))).alias("_sons"),
+        F.first("_entries", ignorenulls=True).alias("_entries"),
+        F.first("state").alias("state"), F.first("_opens").alias("_opens"),
+    ).withColumn("_reporters", F.col("_entries.reporter_ordinal"))
+
+    def record(e: Column, place: Column) -> Column:
+        def son(s: Column) -> Column:
+            heard = F.transform("_reporters", lambda r, k: F.when((r == s["son_ordinal"]) & (k <= place), k))
+            told = F.get("_entries", F.array_max(heard))["attributes"]
+            return F.struct(
+                s["system_uuid"].alias("entityID"), F.coalesce(told, s["_known"]).alias("entityAttributes")
+            )
+
+        return F.struct(
+            *[e[name].alias(name) for name in [*_ORDER, "reporter_uuid"]],
+            F.when(F.col("_opens") & (e["_n"] == 1), F.col("state")).otherwise("NONE").alias("stateChanges"),
+            e["attributes"].alias("entityAttributes"),
+            F.transform("_sons", son).alias("sons"),
+        )
+
+    return whole.select(*VERSION, F.inline(F.transform("_entries", record))).withColumn(
+        "complete", F.forall("sons", lambda s: s["entityAttributes"].isNotNull())
     )
-    records = listed.groupBy(*keyed, *_ORDER).agg(
-        F.first("reporter_uuid").alias("reporter_uuid"),
-        F.first("_state").alias("stateChanges"),
-        F.first(mine, ignorenulls=True).alias("entityAttributes"),
-        F.array_sort(F.collect_list(son)).alias("_sons"),
-    ).select(
-        *VERSION, *_ORDER, "reporter_uuid", "stateChanges", "entityAttributes",
-        F.transform("_sons", lambda s: F.struct(s["entityID"].alias("entityID"), s["entityAttributes"].alias("entityAttributes"))).alias("sons"),
-    ).withColumn("complete", F.forall("sons", lambda s: s["entityAttributes"].isNotNull()))
-    return _of_one_source(plain).unionByName(records).withColumnRenamed("family_id", "entityID")
 
 
 def _state_at_chunks(grouped: DataFrame, start: DataFrame) -> DataFrame:
@@ -163,13 +202,13 @@ def _state_at_chunks(grouped: DataFrame, start: DataFrame) -> DataFrame:
     )
 
 
-def _chunk_cuts(grouped: DataFrame, limit: int) -> list[float]:
-    """Chunk borders by equal work (records times sons); none where all of it fits one chunk."""
+def _chunk_cuts(grouped: DataFrame, limit: int) -> tuple[int, list[float]]:
+    """The work (records times sons) and the borders that cut it into equal chunks, if any."""
     work = grouped.agg(F.sum("n_sons")).first()[0] or 0
     if work <= limit:
-        return []
+        return work, []
     weighted = grouped.select("pos", F.explode(F.sequence(F.lit(1), "n_sons")).alias("_i"))
-    return position_cuts(weighted, "pos", limit, work)
+    return work, position_cuts(weighted, "pos", limit, work)
 
 
 def family_snapshot(routed: DataFrame, members: DataFrame, seed_rows: DataFrame) -> DataFrame:

@@ -235,12 +235,14 @@ def _members(creates: DataFrame, facts: DataFrame, rows_per_chunk: int) -> DataF
     opens = facts.filter("fact = 'OPEN'")
     merges = opens.filter("kind = 'MERGE'").select(
         "family_id", "opened_by", *ORDER, F.col("size").alias("n_sons"),
-        _node("family_id", "opened_by").alias("node"), "depth",
+        _node("family_id", "opened_by").alias("node"),
     )
     # an OPEN of a split carries the version it closed: its opener, first son and size
     splits = opens.filter("kind = 'SPLIT'")
-    scale = merges.agg(F.max("depth"), F.sum("n_sons")).first()
-    trees = _merge_trees(closes, scale[0] or 0)
+    height, turnover = opens.agg(
+        F.max(F.when(F.col("kind") == "MERGE", F.col("depth"))), F.sum("size")
+    ).first()
+    trees = _merge_trees(closes, height or 0)
 
     taken = splits.select(
         "family_id", F.col("event_id").alias("opened_by"), *ORDER, F.lit("SON_TAKEN").alias("state"),
@@ -254,8 +256,8 @@ def _members(creates: DataFrame, facts: DataFrame, rows_per_chunk: int) -> DataF
             F.lit("WAS_SPLIT").alias("state"), F.col("source").alias("system_uuid"),
         )
     )
-    merged_rows = scale[1] or 0
-    cuts = position_cuts(opens, "pos", rows_per_chunk, merged_rows)
+    # every row but the CREATE ones comes from an opening and one of its sons
+    cuts = position_cuts(opens, "pos", rows_per_chunk, turnover or 0)
     reopened = ordinal(taken.union(freed), ["family_id"], ORDER, "_nth", cuts).select(
         "family_id", "opened_by", *ORDER, "state", (F.col("_nth") + 1).alias("version_seq"),
         F.lit(1).cast("bigint").alias("n_sons"), F.lit(0).cast("bigint").alias("son_ordinal"), "system_uuid",

@@ -39,17 +39,22 @@ class Fusion:
     def rejected_reports(self) -> DataFrame:
         return routing.rejected(self.routed)
 
+    @property
+    def _rule(self) -> str:
+        return self.seed_rule or DEFAULT_SEEDS[self.mode]
+
     @cached_property
     def seeds(self) -> DataFrame:
-        return families.seeds(self.routed, self.members, self.seed_rule or DEFAULT_SEEDS[self.mode])
+        return families.seeds(self.routed, self.members, self._rule)
 
     @cached_property
     def records(self) -> DataFrame:
-        # only versions of several sons can show a seed: a lone son is always the reporter
-        shown = families.seeds(
-            self.routed, self.members.filter("n_sons > 1"), self.seed_rule or DEFAULT_SEEDS[self.mode]
-        ) if (self.seed_rule or DEFAULT_SEEDS[self.mode]) != "carry" else self.seeds
-        return families.family_records(self.routed, self.members, shown)
+        # a lone son is always the reporter, so only sons of larger versions can show a seed
+        showing = self.members.filter("n_sons > 1")
+        if self._rule == "carry":  # needs the whole history of those sons
+            showing = self.members.join(showing.select("system_uuid").distinct(), "system_uuid", "left_semi")
+        seeds = families.seeds(self.routed, showing, self._rule)
+        return families.family_records(self.routed, self.members, seeds)
 
     @cached_property
     def snapshot(self) -> DataFrame:

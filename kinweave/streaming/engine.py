@@ -133,11 +133,13 @@ class FusionStream:
 
         anchor = F.when(F.col("kind") == "SPLIT", F.lower("splittedEntityID")).otherwise(F.col("event_id"))
         refused = life.rejected.filter("reason <> 'DUPLICATE_EVENT'").select("event_id").withColumn("_refused", F.lit(True))
+        # the same key twice inside one batch: only the first is an event
+        repeats = life.rejected.filter("reason = 'DUPLICATE_EVENT'").select("event_id", "pos", "topic", "offset")
+        events = events.join(repeats, ["event_id", "pos", "topic", "offset"], "left_anti")
         labelled = (
             events.withColumn("node", anchor).join(life.components, "node", "left")
             .withColumn("component", F.coalesce("component", "node"))
             .join(refused, "event_id", "left").withColumn("accepted", F.col("_refused").isNull())
-            .dropDuplicates(["event_id"])
         )
         state.put("control", labelled, batch_id)
         state.put("members", life.members, batch_id)

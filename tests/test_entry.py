@@ -89,8 +89,10 @@ def test_record_plan(b1):
     plan = plan_of(out.records).split("== Physical Plan ==")[1]
     for banned in ("NestedLoop", "Cartesian", "Python", "Pandas", "ArrowEval"):
         assert banned not in plan
-    top = plan.split("Window [last(")[0]
-    assert top.count("Exchange hashpartitioning") == 0
+    above = plan.split("Window [last(")[0]
+    assert "Exchange hashpartitioning" not in above
+    between = plan.split("Window [last(")[1].split("Window [row_number(")[0]
+    assert "Exchange hashpartitioning" not in between
 
 
 def test_pruned_scan(b1):
