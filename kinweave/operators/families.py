@@ -111,7 +111,9 @@ def family_records(
     grouped = told.filter(~((F.col("n_sons") == 1) & (F.col("state") == "NONE")))
 
     work, cuts = _chunk_cuts(grouped, record_sons_per_chunk)
-    tasks = min(max(math.ceil(work / RECORD_SONS_PER_TASK), 1), MAX_TASKS)
+    # never below the session's number, or Spark would exchange the reports once more for the join
+    least = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(math.ceil(work / RECORD_SONS_PER_TASK), MAX_TASKS), least, 2)
     start = members.filter("state <> 'NONE'").select(*VERSION, "son_ordinal", "system_uuid").join(
         seed_rows, [*VERSION, "system_uuid"], "left"
     )
