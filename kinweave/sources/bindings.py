@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.ids import uuid_of
 from ..operators.control import control_union
 from ..schemas import CREATION_TOPIC, MERGE_TOPIC, NATIONALITIES, SPLIT_TOPIC
+from ..session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +28,11 @@ def _share(events: DataFrame, times: int, parts: int):
     return events.agg(F.floor(F.count(F.lit(1)) * times / parts).cast("bigint").alias("n")).scalar()
 
 
-def b1_merge_lists(events: DataFrame) -> DataFrame:
+def b1_merge_lists(events: DataFrame, sources: DataFrame) -> DataFrame:
     """Half-way, all sources of a user divisible by 3 become one family, in sensor order."""
     own = F.array_sort(F.collect_list(F.struct("sensor_id", "system_uuid")))
     return (
-        b1_sources(events).withColumn("pos", _share(events, 1, 2))
+        sources.withColumn("pos", _share(events, 1, 2))
         .filter((F.col("user_id") % 3 == 0) & (F.col("data_offset") < F.col("pos")))
         .groupBy("user_id", "pos").agg(own["system_uuid"].alias("mergedEntitiesId"))
         .filter(F.size("mergedEntitiesId") >= 2)
@@ -40,14 +41,18 @@ def b1_merge_lists(events: DataFrame) -> DataFrame:
 
 
 def b1_control(events: DataFrame, *more: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """The B1 control log; ``more`` adds (merge, split) rows to the topics."""
-    creation = b1_sources(events).select(
+    """The B1 control log; ``more`` adds (merge, split) rows to the topics.
+
+    The sources are written once: every topic is made from them, and the events are far more.
+    """
+    sources = materialize(b1_sources(events))
+    creation = sources.select(
         F.col("data_offset").alias("pos"), F.col("data_offset").alias("offset"),
         F.concat_ws("|", "sensor_id", "reports_id").alias("event_key"),
         F.col("sensor_id").alias("sourceName"), F.col("reports_id").alias("externalSystemID"),
         F.col("data_offset").alias("dataOffset"),
     )
-    lists = b1_merge_lists(events)
+    lists = b1_merge_lists(events, sources)
     user_key = F.col("user_id").cast("string").alias("event_key")
     merge = lists.select("pos", F.col("user_id").alias("offset"), user_key, "mergedEntitiesId")
     split = lists.filter(F.col("user_id") % 6 == 0).select(
