@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 import uuid
@@ -351,7 +352,29 @@ def entry(spark: SparkSession) -> DataFrame:
     return family_updates("replay")(spark, "/root/testdata/sf0.001")
 
 
+def _optional(name: str):
+    """A module that may be absent as a whole; an import that fails inside it is an error."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name not in ("kinweave.llm", "kinweave.llm.queries", "corpus_pipeline"):
+            raise
+        return None
+
+
+_llm, _pipeline = _optional("kinweave.llm.queries"), _optional("corpus_pipeline")
+
+
 def queries() -> dict[str, Query]:
+    found = _own_queries()
+    if _llm:
+        found |= _llm.queries()
+    if _pipeline:
+        found["pipeline"] = _pipeline.run
+    return found
+
+
+def _own_queries() -> dict[str, Query]:
     return {
         "control_union": control_union,
         "control_validated": control_validated,
@@ -399,4 +422,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     sql = oracles.oracle_sql()
-    return {name: sql[name] for name in queries() if name in sql}
+    found = {name: sql[name] for name in _own_queries() if name in sql}
+    if _llm:
+        found |= _llm.oracle_sql()
+    if _pipeline and _pipeline.ORACLE_SQL:
+        found["pipeline"] = _pipeline.ORACLE_SQL
+    return found
