@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import secrets, simhash
+from . import mixing_lm, secrets, simhash, trie_tokens
 
 #: Where the public tokenizer files are; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,16 +15,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_tokens.token_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op2_secrets": op2_secrets, "op10_simhash": op10_simhash}
+    return {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op9_lm": op9_lm, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
