@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import mixing_lm, secrets, simhash, trie_tokens
+from . import langid, mixing_lm, secrets, simhash, trie_tokens
 
 #: Where the public tokenizer files are; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_lm.score_texts(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op9_lm": op9_lm, "op10_simhash": op10_simhash}
+    return {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op8_langid": op8_langid, "op9_lm": op9_lm, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
