@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = materialize(fingerprint_rows(df, id_col, text_col))
     prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    labels = component_labels(links(prints.select("fp")))
+    labels = component_labels(materialize(links(prints.select("fp"))))
     placed = prints.join(labels, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("class")
     )
