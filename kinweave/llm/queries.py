@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import langid, mixing_lm, secrets, simhash, tiling, trie_tokens
+from . import balance, langid, mixing_lm, quality, secrets, simhash, tiling, trie_tokens
 
 #: Where the public tokenizer files are; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -23,6 +23,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op7_decontamination": op7_decontamination, "op8_langid": op8_langid, "op9_lm": op9_lm, "op10_simhash": op10_simhash}
+    return {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op7_decontamination": op7_decontamination, "op8_langid": op8_langid, "op9_lm": op9_lm, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
