@@ -4,8 +4,8 @@ A text is its byte n-grams of lengths two to four in ASCII lower case, where eve
 no letter is a space and n-grams with two spaces in a row do not count, so n-grams know word borders. Each
 hashes to one of 2**BUCKET_BITS embeddings; their mean goes into a softmax over the learned languages.
 Embeddings and weights are trained by stochastic gradient descent in numpy on a bounded sample: the
-PER_LANGUAGE rows of lowest id hash of each language. A fifth of it calibrates: a temperature for the
-scores, and the lowest score at which accepted rows are right TARGET of the time, MIN_SCORE at least.
+PER_LANGUAGE rows of lowest id hash of each language. A fifth of it calibrates: a temperature makes the
+score the probability of being right, and a row whose score is under MIN_SCORE is rejected.
 
 For prediction, embedding times weights is one short vector per bucket, so a text costs one look-up per
 n-gram and no row is shuffled.
@@ -26,7 +26,6 @@ DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
 PER_LANGUAGE = 500
 EPOCHS = 20
-TARGET = 0.99
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 _SLICE = 1_000_000
@@ -68,11 +67,11 @@ def has_letter(text: bytes) -> bool:
 
 
 class Classifier:
-    """One vector of language logits per bucket, with temperature and rejection threshold."""
+    """One vector of language logits per bucket, with the temperature of the scores."""
 
     def __init__(self, languages: list[str], logits: np.ndarray, bias: np.ndarray):
         self.languages, self.logits, self.bias = languages, logits, bias
-        self.temperature, self.threshold = 1.0, MIN_SCORE
+        self.temperature = 1.0
 
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Logits, (rows, languages)."""
@@ -117,19 +116,11 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, lan
 
 
 def calibrate(model: Classifier, raw: np.ndarray, labels: np.ndarray) -> Classifier:
-    """Temperature of least log loss, and the lowest score whose accepted rows are right TARGET of the time."""
-    if not len(labels):
-        return model
-    grid = np.geomspace(0.05, 20, 61)
-    losses = [-np.log(softmax(raw / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(losses))])
-    p = softmax(raw / model.temperature)
-    score, right = p.max(axis=1), p.argmax(axis=1) == labels
-    order = np.argsort(-score, kind="stable")
-    accuracy = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    enough = np.flatnonzero(accuracy >= TARGET)
-    lowest = score[order][enough[-1]] if len(enough) else 1.0
-    model.threshold = float(max(MIN_SCORE, lowest if len(enough) < len(order) else MIN_SCORE))
+    """Sets the temperature of least log loss on rows that were not trained on."""
+    if len(labels):
+        grid = np.geomspace(0.05, 20, 61)
+        losses = [-np.log(softmax(raw / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
+        model.temperature = float(grid[int(np.argmin(losses))])
     return model
 
 
@@ -194,16 +185,16 @@ def predict(df: DataFrame, model: Classifier | None, text_col: str = "text") ->
             data, offsets = text_buffer(part.column(text_col))
             raw = data.tobytes()
             known = np.array([has_letter(raw[a:b]) for a, b in zip(offsets, offsets[1:])], bool)
-            names, best, score, least = [UNKNOWN], np.zeros(len(known), int), np.zeros(len(known)), 1.0
+            names, best, score = [UNKNOWN], np.zeros(len(known), int), np.zeros(len(known))
             if model is None:
                 known[:] = False
             else:
                 best, score = model.predict(data, offsets)
-                names, least = model.languages, model.threshold
+                names = model.languages
             score = np.where(known, score, 0.0)
             pred = [names[b] if k else UNKNOWN for b, k in zip(best, known)]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < least))],
+                [*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < MIN_SCORE))],
                 [*part.schema.names, *added],
             )
 

@@ -42,6 +42,19 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_scores_are_calibrated():
+    rng = np.random.default_rng(1)
+    model = langid.Classifier(["a", "b"], np.zeros((1, 2)), np.zeros(2))
+    truth = rng.random(4000)
+    labels = (rng.random(4000) < truth).astype(int)
+    raw = 7 * np.stack([np.zeros(4000), np.log(truth / (1 - truth))], axis=1)
+    langid.calibrate(model, raw, labels)
+    p = langid.softmax(raw / model.temperature)
+    for low in (0.5, 0.6, 0.7, 0.8, 0.9):
+        some = (p.max(axis=1) >= low) & (p.max(axis=1) < low + 0.1)
+        assert abs((p.argmax(axis=1) == labels)[some].mean() - p.max(axis=1)[some].mean()) < 0.06
+
+
 def test_awkward_rows(spark):
     rows = awkward_rows() + [(300, "123 !!! 456", "en", "a", 1), (301, "漢字", "en", "a", 1)]
     got = langid.language_report(frame(spark, rows, True)).collect()
