@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import balance, langid, mixing_lm, packing, quality, secrets, simhash, tiling, trie_tokens
+from . import balance, chaining, langid, mixing_lm, packing, quality, secrets, simhash, tiling, trie_tokens
 
 #: Where the public tokenizer files are; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -31,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op6_packing": op6_packing, "op7_decontamination": op7_decontamination, "op8_langid": op8_langid, "op9_lm": op9_lm, "op10_simhash": op10_simhash}
+    return {"op1_tokens": op1_tokens, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_passages": op5_passages, "op6_packing": op6_packing, "op7_decontamination": op7_decontamination, "op8_langid": op8_langid, "op9_lm": op9_lm, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
