@@ -113,7 +113,12 @@ def reports_filtered(spark, sf_dir):
 
 
 def attributes_converted(spark, sf_dir):
-    reports = b1_reports(_events(spark, sf_dir))
+    """Some reports have a nationality or category outside the symbols."""
+    symbol = F.when(F.col("offset") % 11 == 0, "ATLANTIS").otherwise(F.col("report.nationality"))
+    category = F.when(F.col("offset") % 13 != 0, F.col("report.category"))
+    reports = b1_reports(_events(spark, sf_dir)).withColumn(
+        "report", F.col("report").withField("nationality", symbol).withField("category", category)
+    )
     return reports.select(
         "topic", "offset", invalid_enum(F.col("report")).alias("invalid_enum"),
         converted(F.col("report")).alias("attributes"),
@@ -322,15 +327,20 @@ def stream_latest(spark, sf_dir):
 
 
 def throttled_stream(spark, sf_dir):
-    """Every event arrives though each micro-batch admits one file only."""
+    """Every event of four files, and the number of micro-batches that one file each makes of them."""
     folder = _scratch(spark, "throttled")
     events = _event_stream(spark, sf_dir, folder, per_batch=1)
     batch_table(events, f"{folder}/out", f"{folder}/checkpoint", availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+    arrived = spark.read.parquet(f"{folder}/out")
+    batches = arrived.agg(F.countDistinct("batch").alias("n")).scalar()
+    return arrived.select("event_id", "event_type", batches.alias("n_batches"))
 
 
 def stop_by_name(spark, sf_dir):
-    """Three named pipelines over all events; B is stopped, the others finish undisturbed."""
+    """Three named pipelines over all events; B is stopped, the others finish undisturbed.
+
+    The last row tells whether B was found, ended, and can no longer be found.
+    """
     folder = _scratch(spark, "stop-by-name")
     events = _event_stream(spark, sf_dir, folder)
     prefix = uuid.uuid4().hex
@@ -338,18 +348,21 @@ def stop_by_name(spark, sf_dir):
         key: batch_table(events, f"{folder}/{key}", f"{folder}/checkpoint-{key}", name=f"{prefix}-{key}")
         for key in ("A", "B", "C")
     }
-    stop(spark, f"{prefix}-B")
+    stopped = stop(spark, f"{prefix}-B") and not started["B"].isActive and not stop(spark, f"{prefix}-B")
     for key in ("A", "C"):
         started[key].processAllAvailable()
         stop(spark, f"{prefix}-{key}")
-    return fan_in(*[
-        spark.read.parquet(f"{folder}/{key}").select(F.lit(key).alias("pipeline"), "event_id") for key in ("A", "C")
-    ])
+    finished = [
+        spark.read.parquet(f"{folder}/{key}").select(F.lit(key).alias("pipeline"), "event_id", F.lit(False).alias("stopped"))
+        for key in ("A", "C")
+    ]
+    last = _events(spark, sf_dir).agg(F.max("event_id").alias("event_id"))
+    return fan_in(*finished, last.select(F.lit("B").alias("pipeline"), "event_id", F.lit(stopped).alias("stopped")))
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Every report of the smallest data set as a family record, one row per son."""
-    return family_updates("replay")(spark, "/root/testdata/sf0.001")
+    """Every report of a data set (ENTRY_SF_DIR, else the smallest) as a family record, one row per son."""
+    return family_updates("replay")(spark, os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001"))
 
 
 def _optional(name: str):

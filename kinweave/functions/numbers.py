@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 # the first four already decide every integer below 3 215 031 751.
 WITNESSES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 _FOUR_WITNESS_LIMIT = 3_215_031_751
+_LONG_MAX = 2**63 - 1
 _LONG_SQUARE_LIMIT = 3_037_000_499  # largest n with (n-1)^2 inside a 64-bit integer
 
 
@@ -64,6 +65,7 @@ def is_prime(n: Column) -> Column:
 
 
 def is_twin_prime(n: Column) -> Column:
-    """n and n + 2 are both prime; the cheap residue test comes first."""
+    """n and n + 2 are both prime; the cheap residue test comes first. False where n + 2 is no 64-bit integer."""
     n = n.cast("bigint")
-    return ((n == 3) | (n % 6 == 5)) & is_prime(n) & is_prime(n + 2)
+    other = F.when(n <= _LONG_MAX - 2, n + 2)
+    return ((n == 3) | (n % 6 == 5)) & is_prime(n) & F.coalesce(is_prime(other), F.lit(False))

@@ -13,7 +13,6 @@ SEEDS = ("own", "carry", "none")
 RECORD_SONS_PER_CHUNK = 4_000_000
 RECORDS_PER_BLOCK = 16
 RECORD_SONS_PER_TASK = 250_000
-MAX_TASKS = 100_000
 
 VERSION = ("family_id", "version_seq")
 _ORDER = list(RECORD_ORDER)
@@ -113,7 +112,7 @@ def family_records(
     work, cuts = _chunk_cuts(grouped, record_sons_per_chunk)
     # never below the session's number, or Spark would exchange the reports once more for the join
     least = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(min(math.ceil(work / RECORD_SONS_PER_TASK), MAX_TASKS), least, 2)
+    tasks = max(math.ceil(work / RECORD_SONS_PER_TASK), least, 2)
     start = members.filter("state <> 'NONE'").select(*VERSION, "son_ordinal", "system_uuid").join(
         seed_rows, [*VERSION, "system_uuid"], "left"
     )

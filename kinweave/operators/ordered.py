@@ -14,7 +14,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_CHUNK = 4_000_000
-MAX_CHUNKS = 50_000  # keeps the cut list small on the driver; above it chunks grow, rows stay whole
 CHUNK = "_chunk"
 
 
@@ -26,7 +25,7 @@ def position_cuts(df: DataFrame, position: str, rows_per_chunk: int, n_rows: int
     n_rows = df.count() if n_rows is None else n_rows
     if n_rows <= rows_per_chunk:
         return []
-    chunks = min(math.ceil(n_rows / rows_per_chunk), MAX_CHUNKS)
+    chunks = math.ceil(n_rows / rows_per_chunk)
     quantiles = [i / chunks for i in range(1, chunks)]
     cuts = df.select(F.col(position).cast("double").alias("p")).approxQuantile("p", quantiles, 1 / (4 * chunks))
     return sorted(set(cuts))
@@ -113,12 +112,12 @@ def ordinal(
 def take_while_inclusive(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], predicate: Column
 ) -> DataFrame:
-    """Per key: rows up to and including the first that fails the predicate.
+    """Per key: rows up to and including the first that fails the predicate (D9); null fails like false.
 
     The first failure is a map-side combined minimum, so no key is ever sorted or held whole.
     """
     position = F.struct(*order)
-    ends = df.filter(~predicate).groupBy(*keys).agg(F.min(position).alias("_end"))
+    ends = df.filter(~F.coalesce(predicate, F.lit(False))).groupBy(*keys).agg(F.min(position).alias("_end"))
     return (
         df.join(ends, list(keys), "left")
         .filter(F.col("_end").isNull() | (position <= F.col("_end")))

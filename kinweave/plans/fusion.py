@@ -16,7 +16,7 @@ DEFAULT_SEEDS = {"replay": "own", "resume": "carry"}
 
 @dataclass
 class Fusion:
-    """Lazily composed outputs of one run; every attribute is a plain DataFrame."""
+    """Outputs of one run, composed when asked for. ``seeds`` and ``records`` run small jobs to size their work."""
 
     lifecycle: Lifecycle
     reports: DataFrame

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Topic names, event kinds with their rank at one position, states, enum symbols.
+# Topic names, event kinds with their rank at one position, enum symbols.
 CREATION_TOPIC = "creation"
 MERGE_TOPIC = "merge"
 SPLIT_TOPIC = "split"
 UPDATE_TOPIC = "update"
-KIND_OF_TOPIC = {"creation": "CREATE", "merge": "MERGE", "split": "SPLIT"}
-TOPIC_OF_KIND = {"CREATE": "creation", "MERGE": "merge", "SPLIT": "split"}
 KIND_RANK = {"CREATE": 0, "MERGE": 1, "SPLIT": 2, "REPORT": 3}
-STATES = ("NONE", "MERGED", "SON_TAKEN", "WAS_SPLIT")
 NATIONALITIES = ("ISRAEL", "USA", "SPAIN")
 CATEGORIES = ("airplane", "boat")
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import threading
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED = "kinweave.shipped"
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,9 +28,29 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings the operators count on (all are runtime-settable)."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The driver may have it on its own path only; Spark then serves the archive to every executor.
+    """
+    if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="kinweave-"), "kinweave.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a private one only for a local, unset session."""
     context = spark.sparkContext
@@ -48,5 +74,37 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/kinweave-{uuid.uuid4().hex}"
+    for paths in _scopes():
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The open scopes of this thread: other streams have their own."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end; nothing read later may need them."""
+    paths: list[str] = []
+    _scopes().append(paths)
+    try:
+        yield
+    finally:
+        _scopes().pop()
+        delete(spark, *paths)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove folders of the shared file system; those that are not there are passed over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)

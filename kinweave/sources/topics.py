@@ -6,9 +6,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.control import control_union
+from ..operators.control import control_union, fan_in
 from ..schemas import (
-    CREATION_TOPIC, GENERAL_ATTRIBUTES, MERGE_TOPIC, PAYLOAD_OF_TOPIC, REPORT, SPLIT_TOPIC,
+    CATEGORIES, CREATION_TOPIC, GENERAL_ATTRIBUTES, MERGE_TOPIC, NATIONALITIES, PAYLOAD_OF_TOPIC, SPLIT_TOPIC,
 )
 
 # The consumer group, and the only partition that is read.
@@ -21,20 +21,23 @@ def kafka_options(
     topics: list[str],
     starting_offsets: dict[str, int] | None = None,
     max_offsets_per_trigger: int | None = None,
+    partitions: int = 1,
 ) -> dict[str, str]:
     """Options of one shared scan over all topics (S1, S2, S5): partition 0, earliest by default.
 
     ``starting_offsets`` gives the first offset (inclusive) per topic; -2 stands for earliest.
+    ``partitions``: how many partitions each topic has, all of which are read.
     """
+    numbers = range(PARTITION, PARTITION + partitions)
     options = {
         "kafka.bootstrap.servers": servers,
-        "assign": json.dumps({topic: [PARTITION] for topic in topics}),
+        "assign": json.dumps({topic: list(numbers) for topic in topics}),
         "startingOffsets": "earliest",
         "kafka.group.id": GROUP_ID,
     }
     if starting_offsets:
         options["startingOffsets"] = json.dumps(
-            {topic: {str(PARTITION): starting_offsets.get(topic, -2)} for topic in topics}
+            {topic: {str(n): starting_offsets.get(topic, -2) for n in numbers} for topic in topics}
         )
     if max_offsets_per_trigger:
         options["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
@@ -77,13 +80,23 @@ _AVRO_NAMES = {
 }
 
 
+# Fields that are enums on the wire, with their symbols, and the field that is a union of one branch.
+_AVRO_ENUMS = {"nationality": NATIONALITIES, "category": CATEGORIES}
+_AVRO_UNIONS = ("sons",)
+
+
 def avro_schema(schema: T.StructType, name: str = "record") -> str:
-    """Avro schema text of a fixed record type."""
+    """Avro schema text of a fixed record type, as its writer has it: enums by index, unions by branch."""
+
+    def field(f: T.StructField, path: str):
+        if f.name in _AVRO_ENUMS:
+            return {"type": "enum", "name": path, "symbols": list(_AVRO_ENUMS[f.name])}
+        return [of(f.dataType, path)] if f.name in _AVRO_UNIONS else of(f.dataType, path)
 
     def of(kind: T.DataType, path: str):
         if isinstance(kind, T.StructType):
             return {"type": "record", "name": path,
-                    "fields": [{"name": f.name, "type": of(f.dataType, f"{path}_{f.name}")} for f in kind.fields]}
+                    "fields": [{"name": f.name, "type": field(f, f"{path}_{f.name}")} for f in kind.fields]}
         if isinstance(kind, T.ArrayType):
             return {"type": "array", "items": of(kind.elementType, path + "_item")}
         return _AVRO_NAMES[type(kind)]
@@ -112,7 +125,17 @@ def reports_from_topics(rows: DataFrame, position: Column, encoding: str = "json
     )
 
 
-def read_reports(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
-    """Report history kept as parquet (partitioned by topic when written by the engine)."""
-    reader = (spark.readStream if streaming else spark.read).schema(REPORT).options(**options)
-    return reader.parquet(path)
+def arrival_position() -> Column:
+    """Position of a topic row: the time the broker gave it, in microseconds. Ties fall back on topic and offset."""
+    return F.unix_micros("timestamp")
+
+
+def fusion_rows(rows: DataFrame, position: Column | None = None, encoding: str = "json") -> DataFrame:
+    """Raw rows of control and sensor topics as one log, which the streaming engine takes.
+
+    ``kind`` is REPORT for rows of all topics but the three control topics.
+    """
+    position = arrival_position() if position is None else position
+    control = control_from_topics(rows, position, encoding)
+    own = rows.filter(~F.col("topic").isin(*PAYLOAD_OF_TOPIC))
+    return fan_in(control, reports_from_topics(own, position, encoding).withColumn("kind", F.lit("REPORT")))

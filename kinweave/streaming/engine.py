@@ -6,14 +6,17 @@ reads and extends with the batch operators, instead of in one keyed stateful ope
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import families, routing
-from ..operators.control import fan_in, validate
+from ..operators.control import fan_in, kind_rank, validate
 from ..operators.lifecycle import lifecycle
 from ..plans.fusion import DEFAULT_SEEDS
 from ..schemas import CONTROL, REPORT
+from ..session import scratch
 from ..sinks.files import for_each_batch
 from .state import SCHEMAS, StateTables
 
@@ -27,17 +30,32 @@ def unified(control: DataFrame, reports: DataFrame) -> DataFrame:
     return fan_in(control, reports.withColumn("kind", F.lit("REPORT")))
 
 
+def _on_arrival(control: DataFrame, seen: int) -> DataFrame:
+    """Late events one after the other above ``seen``; a micro-batch has few control events."""
+    late = control.filter(F.col("pos") <= seen)
+    rank = F.row_number().over(Window.orderBy("pos", kind_rank(F.col("kind")), "topic", "offset"))
+    return control.filter(F.col("pos") > seen).unionByName(
+        late.withColumn("pos", (F.lit(seen) + rank).cast("bigint"))
+    )
+
+
 class FusionStream:
     """foreachBatch step with its state (K5); ``start`` runs it as a named query.
 
-    Inside a batch, rows are taken in total order. A control event that comes after reports with
-    greater positions takes effect right above everything seen so far. So the records equal those
-    of a batch run whenever the batches are in position order.
+    Inside a batch, rows are taken in total order. What comes late, that is at or below a position
+    an earlier batch held, takes effect on arrival, right above everything seen so far: late control
+    events in their own order, each at a position of its own, and late reports at the first of these
+    positions, so that they reach the family that is live then. ``event_pos`` keeps what a control
+    event said. So the records equal those of a batch run whenever the batches are in position order.
+
+    ``publish`` is handed the stored records of a batch and its number; it may be called again for a
+    batch that is run again.
     """
 
     def __init__(self, spark: SparkSession, folder: str, mode: str = "resume", seeds: str | None = None,
-                 compact_every: int = 50):
+                 compact_every: int = 50, publish: Callable[[DataFrame, int], None] | None = None):
         self.state = StateTables(spark, folder, compact_every)
+        self.publish = publish
         self.mode = mode
         self.seed_rule = seeds or DEFAULT_SEEDS[mode]
 
@@ -48,16 +66,22 @@ class FusionStream:
     def step(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            self._step(batch, batch_id)
+            with scratch(batch.sparkSession):
+                self._step(batch, batch_id)
+            self.state.prune(batch_id)
         finally:
             batch.unpersist()
+        if self.publish:
+            self.publish(self.state.output("updates", batch_id), batch_id)
 
     def _step(self, batch: DataFrame, batch_id: int) -> None:
         state = self.state
         seen = state.high_water(batch_id)
         control = batch.filter("kind <> 'REPORT'").select(*_CONTROL).withColumn("event_pos", F.col("pos"))
-        control = control.withColumn("pos", F.greatest(F.col("pos"), F.lit(seen + 1)))
-        reports = batch.filter("kind = 'REPORT'").select(*_REPORT)
+        control = _on_arrival(control, seen)
+        reports = batch.filter("kind = 'REPORT'").select(*_REPORT).withColumn(
+            "pos", F.greatest(F.col("pos"), F.lit(seen + 1))
+        )
 
         changed, rejected = self._apply(control, batch_id)
         before = state.current("members", batch_id)

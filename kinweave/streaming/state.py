@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.routing import RECORD_ORDER
 from ..schemas import CONTROL, GENERAL_ATTRIBUTES, REPORT
+from ..session import delete
 
 _TEXT, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
 
@@ -69,8 +70,20 @@ class StateTables:
     def log(self, name: str, batch_id: int) -> DataFrame:
         """All rows earlier batches left, with their ``batch``."""
         schema = T.StructType(SCHEMAS[name].fields + _fields(batch=_INT))
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        return rows.filter((F.col("batch") < batch_id) & (F.col("batch") >= self._floor(name, batch_id)))
+        rows = self.spark.read.schema(schema)
+        if name in KEYS:
+            # only the partitions that matter are looked at, however old the stream is
+            batches = range(self._floor(name, batch_id), batch_id)
+            folders = [f"{self.folder}/{name}/batch={i}" for i in batches]
+            return rows.option("basePath", f"{self.folder}/{name}").parquet(*folders)
+        return rows.parquet(f"{self.folder}/{name}").filter(F.col("batch") < batch_id)
+
+    def prune(self, batch_id: int) -> None:
+        """Remove partitions that a compaction made useless; no batch from ``batch_id`` on reads them."""
+        for name in KEYS:
+            floor, before = self._floor(name, batch_id), self._floor(name, batch_id - 1)
+            if floor > before:
+                delete(self.spark, *[f"{self.folder}/{name}/batch={i}" for i in range(before, floor)])
 
     def current(self, name: str, batch_id: int) -> DataFrame:
         """The rows that hold when ``batch_id`` starts: per key those of the last batch that wrote it."""
@@ -91,14 +104,19 @@ class StateTables:
         """Write one partition of a result table."""
         self._write(rows, name, batch_id)
 
+    def output(self, name: str, batch_id: int) -> DataFrame:
+        """What one batch added to a result table."""
+        return self.spark.read.parquet(f"{self.folder}/{name}/batch={batch_id}")
+
     def read(self, name: str) -> DataFrame:
         """A result table over all batches."""
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def high_water(self, batch_id: int) -> int:
         """Greatest position any earlier batch held."""
-        value: Sequence = self.log("marks", batch_id).agg(F.max("high_water")).first()
-        return -1 if value[0] is None else value[0]
+        # a mark holds the greatest of all batches up to its own
+        mark: Sequence | None = self.spark.read.schema(SCHEMAS["marks"]).parquet(f"{self.folder}/marks/batch={batch_id - 1}").first()
+        return -1 if mark is None or mark[0] is None else mark[0]
 
 
 __all__ = ["KEYS", "SCHEMAS", "StateTables"]

@@ -154,7 +154,9 @@ WHERE r."offset" >= s.first"""
 SELECT s.system_uuid, r.topic, r."offset", r."externalSystemID" AS external_id, r.speed FROM reports r
 JOIN src s ON r.topic = s.sensor_id AND r."externalSystemID" = s.reports_id AND r."offset" >= s.data_offset"""
     sql["attributes_converted"] = "WITH" + SOURCES + _reports() + f"""
-SELECT r.topic, r."offset", {_flat('r')}, false AS invalid_enum FROM reports r"""
+SELECT r.topic, r."offset", {_flat('r')}, r."offset" % 11 = 0 OR r."offset" % 13 = 0 AS invalid_enum
+FROM (SELECT * REPLACE (CASE WHEN "offset" % 11 = 0 THEN 'ATLANTIS' ELSE nationality END AS nationality,
+                        CASE WHEN "offset" % 13 <> 0 THEN category END AS category) FROM reports) r"""
     for mode in ("resume", "replay"):
         sql[f"reports_routed_{mode}"] = "WITH" + _routed(mode) + """
 SELECT family_id, version_seq, state, n_sons, pos, topic, "offset", sub_ordinal, reporter AS reporter_uuid FROM accepted"""
@@ -204,8 +206,10 @@ LEFT JOIN live l ON l.family_id = x."entityID" WHERE x.r = 1"""
 last AS (SELECT topic, "externalSystemID" AS ext, max(pos) AS pos FROM reports GROUP BY ALL)
 SELECT l.topic, l.ext AS external_id, l.pos, r.nickname, r.speed FROM last l JOIN reports r ON r.pos = l.pos"""
 
-    sql["throttled_stream"] = "SELECT event_id, event_type FROM events"
-    sql["stop_by_name"] = "SELECT pipeline, event_id FROM events, (VALUES ('A'), ('C')) AS p(pipeline)"
+    sql["throttled_stream"] = "SELECT event_id, event_type, CAST(4 AS BIGINT) AS n_batches FROM events"
+    sql["stop_by_name"] = """
+SELECT pipeline, event_id, false AS stopped FROM events, (VALUES ('A'), ('C')) AS p(pipeline)
+UNION ALL SELECT 'B', max(event_id), true FROM events"""
     sql["merged_ranges"] = """
 SELECT 'orders' AS branch, unnest(range(a, b + 1)) AS value FROM (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders)
 UNION ALL

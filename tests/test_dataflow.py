@@ -53,6 +53,48 @@ def test_primes(spark):
     assert applied(spark, list(large), "long", is_prime(F.col("v"))) == list(large.values())
 
 
+def test_twin_primes_at_the_end_of_the_range(spark):
+    from kinweave.functions.numbers import is_twin_prime
+
+    ends = [2**63 - 1, 2**63 - 2, 2**63 - 3, 2**63 - 25, -(2**63)]
+    assert applied(spark, ends, "long", is_twin_prime(F.col("v"))) == [False] * 5
+    assert applied(spark, ends, "long", is_prime(F.col("v"))) == [False, False, False, True, False]
+
+
+def test_take_while_stops_at_null(spark):
+    rows = spark.createDataFrame([("a", 1, True), ("a", 2, None), ("a", 3, True)], "k string, n int, p boolean")
+    got = take_while_inclusive(rows, ["k"], ["n"], F.col("p")).select("n").collect()
+    assert sorted(r.n for r in got) == [1, 2]
+
+
+def test_avro_schema_of_reports_has_the_wire_types():
+    from kinweave.schemas import ENTITY_FAMILY
+
+    fields = {f["name"]: f["type"] for f in json.loads(topics.avro_schema(GENERAL_ATTRIBUTES))["fields"]}
+    assert fields["nationality"]["type"] == "enum" and fields["nationality"]["symbols"] == ["ISRAEL", "USA", "SPAIN"]
+    assert fields["category"]["symbols"] == ["airplane", "boat"]
+    sons = {f["name"]: f["type"] for f in json.loads(topics.avro_schema(ENTITY_FAMILY))["fields"]}["sons"]
+    assert len(sons) == 1 and sons[0]["type"] == "array"
+
+
+def test_topic_rows_become_one_log(spark):
+    report = {"basicAttributes": {"sourceName": "t0", "entityOffset": 3}, "externalSystemID": "x0", "speed": 2.5}
+    rows = spark.createDataFrame([
+        ("creation", 0, 1.0, json.dumps({"sourceName": "t0", "externalSystemID": "x0", "dataOffset": 0})),
+        ("merge", 5, 2.0, json.dumps({"mergedEntitiesId": ["a"]})), ("t0", 9, 3.0, json.dumps(report)),
+    ], "topic string, offset bigint, s double, value string").select(
+        "topic", "offset", F.timestamp_seconds("s").alias("timestamp"), F.col("value").cast("binary").alias("value"),
+        F.lit(None).cast("binary").alias("key"),
+    )
+    got = {r.topic: r for r in topics.fusion_rows(rows).collect()}
+    assert [got[t].kind for t in ("creation", "merge", "t0")] == ["CREATE", "MERGE", "REPORT"]
+    assert [got[t].pos for t in ("creation", "merge", "t0")] == [1_000_000, 2_000_000, 3_000_000]
+    assert got["creation"].sourceName == "t0" and got["t0"].report.speed == 2.5 and got["t0"].offset == 9
+    assert topics.as_text(rows).filter("topic = 'merge'").first().value == '{"mergedEntitiesId": ["a"]}'
+    many = topics.kafka_options("b", ["t0"], {"t0": 4}, partitions=3)
+    assert json.loads(many["assign"]) == {"t0": [0, 1, 2]} and json.loads(many["startingOffsets"]) == {"t0": {"0": 4, "1": 4, "2": 4}}
+
+
 def test_twin_primes(spark):
     got = sorted(r.value for r in flows.twin_primes(spark.range(1000).union(spark.range(50)), "id").collect())
     assert got == [n for n in range(1000) if brute_prime(n) and brute_prime(n + 2)]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.schemas import CONTROL, REPORT
-from kinweave.sources.generators import random_int_stream
+from kinweave.sources.generators import SAMPLE_WORDS, random_int_stream
 from kinweave.streaming import control as queries
 from kinweave.streaming.engine import FusionStream, unified
 from kinweave.streaming.latest import latest_per_source
@@ -88,6 +88,62 @@ def test_late_control_event_takes_effect_on_arrival(spark, tmp_path):
     assert engine.state.read("updates").count() == 2
 
 
+def folders(spark, path):
+    import os
+
+    return sum(len(names) for _, names, _ in os.walk(path))
+
+
+def test_late_report_reaches_the_live_family(spark, tmp_path):
+    """A report of a merged source comes at a position before the merge, after a batch that held the merge."""
+    from .logs import create, event_id, merge
+
+    creates = [create(1, "t0", "x0", key="a"), create(2, "t1", "x1", key="b")]
+    joined = merge(3, [event_id(e) for e in creates], key="m")
+    engine = FusionStream(spark, str(tmp_path / "state"), "resume")
+    engine.step(unified(control_frame(spark, [*creates, joined]), reports_frame(spark, [("t1", 9, 9, "t1", "x1")])), 0)
+    told = []
+    engine.publish = lambda records, batch: told.append((batch, records.count()))
+    engine.step(unified(control_frame(spark, []), reports_frame(spark, [("t0", 2, 2, "t0", "x0")])), 1)
+    updates = engine.state.read("updates").collect()
+    assert [r.entityID for r in updates] == [event_id(joined)] * 2 and told == [(1, 1)]
+    assert engine.state.read("rejected_reports").count() == 0
+
+
+def test_late_control_events_keep_their_order(spark, tmp_path):
+    """A split and then a merge of its two results, both late: the merge still comes second."""
+    from .logs import create, event_id, merge, split
+
+    creates = [create(1, "t0", "x0", key="a"), create(2, "t1", "x1", key="b")]
+    ids = [event_id(e) for e in creates]
+    joined = merge(3, ids, key="m")
+    engine = FusionStream(spark, str(tmp_path / "state"), "resume")
+    engine.step(unified(control_frame(spark, [*creates, joined]), reports_frame(spark, [("t1", 90, 90, "t1", "x1")])), 0)
+    late = [split(10, event_id(joined), key="s"), merge(11, [event_id(joined), ids[1]], key="n")]
+    engine.step(unified(control_frame(spark, late), reports_frame(spark, [("t0", 95, 95, "t0", "x0")])), 1)
+    assert engine.state.read("rejected_events").count() == 0
+    live = engine.state.current("members", 2).filter("v_to is null").select("family_id").distinct().collect()
+    assert [r.family_id for r in live] == [event_id(late[1])]
+    rows = engine.state.current("control", 2).select("event_pos", "pos").collect()
+    assert {(r.event_pos, r.pos) for r in rows if r.event_pos >= 10} == {(10, 91), (11, 92)}
+
+
+def test_batches_leave_no_tables_behind(spark, tmp_path):
+    from kinweave.session import checkpoint_dir
+
+    from .logs import create
+
+    engine = FusionStream(spark, str(tmp_path / "state"), "resume", compact_every=2)
+    root = checkpoint_dir(spark).removeprefix("file:")
+    before = folders(spark, root)
+    for i in range(7):
+        rows = unified(control_frame(spark, [create(i + 1, "t0", f"x{i}", key=f"k{i}")]), reports_frame(spark, [("t0", i + 2, i + 2, "t0", f"x{i}")]))
+        engine.step(rows, i)
+    assert folders(spark, root) == before
+    assert folders(spark, tmp_path / "state" / "members") <= 4
+    assert engine.state.current("members", 7).count() == 7 and engine.state.read("updates").count() == 7
+
+
 def test_latest_per_source(spark, tmp_path):
     reports = random_reports(5)
     reports_frame(spark, reports).repartition(4).write.parquet(str(tmp_path / "r"))
@@ -103,7 +159,7 @@ def test_latest_per_source(spark, tmp_path):
 
 def test_named_queries_stop_one_by_one(spark):
     """One running pipeline per word; killing one leaves the others."""
-    for name in "A B C".split():
+    for name in SAMPLE_WORDS.split():
         random_int_stream(spark, 5).writeStream.format("memory").queryName(name).start()
     try:
         assert queries.stop(spark, "B") and not queries.stop(spark, "B")
@@ -115,6 +171,7 @@ def test_named_queries_stop_one_by_one(spark):
 
 
 def test_throttle(spark):
+    assert all(queries.throttled_rate(spark, ms).isStreaming for ms in queries.SAMPLE_INTERVALS_MS)
     rate = queries.throttled_rate(spark, 250)
     assert rate.isStreaming and queries.every(250) == {"processingTime": "250 milliseconds"}
     with pytest.raises(ValueError):
