@@ -22,7 +22,7 @@ from kinweave.operators.ordered import ordered_concat, position_cuts, take_while
 from kinweave.plans.fusion import Fusion, fuse  # noqa: E402
 from kinweave.schemas import ENTITY_FAMILY  # noqa: E402
 from kinweave.session import checkpoint_dir, tune  # noqa: E402
-from kinweave.sinks.files import batch_table  # noqa: E402
+from kinweave.sinks.files import batch_table, write_by_level, write_text  # noqa: E402
 from kinweave.sinks.topics import update_messages  # noqa: E402
 from kinweave.sources.bindings import (  # noqa: E402
     b1_bad_topics, b1_control, b1_reports, log_lines, table,
@@ -89,8 +89,23 @@ def rejected_events(spark, sf_dir):
     )
 
 
+def rejected_events_all(spark, sf_dir):
+    """Besides the events of ``rejected_events``: every merge once more under its key, and kinds that do not exist."""
+    events = _events(spark, sf_dir)
+    control = b1_control(events)
+    again = control.filter("kind = 'MERGE'").withColumn("pos", F.col("pos") + 1)
+    quarter = events.agg(F.floor(F.count(F.lit(1)) / 4).cast("bigint").alias("n")).scalar()
+    noise = events.filter("user_id % 7 = 6").select("user_id").distinct().select(
+        quarter.alias("pos"), F.lit("DELETE").alias("kind"), F.lit("noise").alias("topic"), F.col("user_id").alias("offset"),
+        F.concat(F.lit("noise|"), F.col("user_id").cast("string")).alias("event_key"),
+    )
+    return lifecycle(fan_in(b1_control(events, b1_bad_topics(events)), again, noise)).rejected.select(
+        "kind", "pos", "event_key", "reason", F.array_join("missing_ids", ",").alias("missing")
+    )
+
+
 def source_registry(spark, sf_dir):
-    return registry.sources(_lifecycle(spark, sf_dir).members)
+    return registry.created_sources(b1_control(_events(spark, sf_dir)))
 
 
 def reports_from_offset(spark, sf_dir):
@@ -105,7 +120,7 @@ def reports_from_offset(spark, sf_dir):
 
 def reports_filtered(spark, sf_dir):
     events = _events(spark, sf_dir)
-    sources = registry.sources(lifecycle(b1_control(events)).members)
+    sources = registry.created_sources(b1_control(events))
     return routing.read_sources(b1_reports(events), sources).select(
         "system_uuid", "topic", "offset", F.col("report.externalSystemID").alias("external_id"),
         F.col("report.speed").alias("speed"),
@@ -280,6 +295,33 @@ def log_levels(spark, sf_dir):
     return log_lines(_events(spark, sf_dir)).withColumn("level", log_level(F.col("line")))
 
 
+def text_written(spark, sf_dir):
+    """Log lines written as text and read back, with the number of bytes the sink reports."""
+    path = f"{_scratch(spark, 'text')}/out"
+    size = write_text(log_lines(_events(spark, sf_dir)), "line", path)
+    return spark.read.text(path).select(F.col("value").alias("line"), F.lit(size).cast("bigint").alias("n_bytes"))
+
+
+def lines_by_level(spark, sf_dir):
+    """Log lines written to one folder per level and read back from there."""
+    path = f"{_scratch(spark, 'levels')}/out"
+    write_by_level(log_lines(_events(spark, sf_dir)), path)
+    return spark.read.schema("value string, level string").text(path).select(F.col("value").alias("line"), "level")
+
+
+def observed_events(spark, sf_dir):
+    """Errors that pass through, with what was observed of all events on their way."""
+    path = f"{_scratch(spark, 'observed')}/out"
+    passed, seen = flows.counted(
+        _events(spark, sf_dir), f"events-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"), F.max("event_id").alias("top")
+    )
+    passed.filter("event_type = 'error'").write.parquet(path)
+    found = seen.get
+    return spark.read.parquet(path).select(
+        "event_id", F.lit(found["n"]).cast("bigint").alias("n_events"), F.lit(found["top"]).cast("bigint").alias("last_event")
+    )
+
+
 def file_lines(spark, sf_dir):
     return lines_of_texts(table(tune(spark), sf_dir, "documents"), "doc_id")
 
@@ -395,6 +437,7 @@ def _own_queries() -> dict[str, Query]:
         "membership_current": membership_current,
         "membership_asof": membership_asof,
         "rejected_events": rejected_events,
+        "rejected_events_all": rejected_events_all,
         "source_registry": source_registry,
         "reports_from_offset": reports_from_offset,
         "reports_filtered": reports_filtered,
@@ -430,6 +473,9 @@ def _own_queries() -> dict[str, Query]:
         "tokenize": tokenize,
         "log_levels": log_levels,
         "file_lines": file_lines,
+        "text_written": text_written,
+        "lines_by_level": lines_by_level,
+        "observed_events": observed_events,
     }
 
 

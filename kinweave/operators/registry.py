@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .control import validate
+
 
 def current(members: DataFrame) -> DataFrame:
     """Live versions with their sons."""
@@ -28,6 +30,21 @@ def sources(members: DataFrame) -> DataFrame:
     )
 
 
+def created_sources(control: DataFrame) -> DataFrame:
+    """The same from the control log alone: CREATE events need no other event to hold.
+
+    Of an event key that repeats, the first event counts.
+    """
+    creates = validate(control).filter("reason is null and kind = 'CREATE'")
+    first = creates.groupBy(F.col("event_id").alias("system_uuid")).agg(
+        F.min(F.struct("pos", "topic", "offset", "sourceName", "externalSystemID", "dataOffset")).alias("_first")
+    )
+    return first.select(
+        "system_uuid", F.col("_first.sourceName").alias("sensor_id"), F.col("_first.externalSystemID").alias("reports_id"),
+        F.col("_first.dataOffset").alias("data_offset"),
+    )
+
+
 def explode_sons(families: DataFrame) -> DataFrame:
     """Family records to one row per son (F12): who it is and what is known of it."""
     keep = [name for name in families.columns if name not in ("sons", "entityAttributes")]

@@ -132,14 +132,29 @@ def route(
     says which son takes it. Only reports naming another source look for that son among all sons
     of the version. ``reporter_uuid`` is null where the family has no such son.
     """
+    return identified(heard(reports, members, mode, versions_per_join, rows_per_chunk), members)
+
+
+def heard(
+    reports: DataFrame,
+    members: DataFrame,
+    mode: str,
+    versions_per_join: int = VERSIONS_PER_JOIN,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """The one join of the reports with the versions subscribed to them."""
     many = restless_sources(members, versions_per_join) if mode == "resume" else None
-    own = subscribed(reports.filter(_native()), members, mode, many, rows_per_chunk)
-    native = _shaped(own, True, F.col("same_source_ordinal"), F.col("same_source_uuid"))
+    return subscribed(reports, members, mode, many, rows_per_chunk)
+
+
+def identified(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``heard`` with the son that reported; it reads them twice, so write them first where they are large."""
+    native = _shaped(rows.filter(_native()), True, F.col("same_source_ordinal"), F.col("same_source_uuid"))
     sons = members.filter(F.col("son_ordinal") == F.col("same_source_ordinal")).select(
         F.col("family_id").alias("_family"), F.col("version_seq").alias("_seq"), F.col("sensor_id").alias("_sensor"),
         F.col("reports_id").alias("_reports"), F.col("son_ordinal").alias("_ordinal"), F.col("system_uuid").alias("_uuid"),
     )
-    other = subscribed(reports.filter(~_native()), members, mode, many, rows_per_chunk).join(
+    other = rows.filter(~_native()).join(
         sons,
         (F.col("family_id") == F.col("_family")) & (F.col("version_seq") == F.col("_seq"))
         & (F.col("report.basicAttributes.sourceName") == F.col("_sensor"))

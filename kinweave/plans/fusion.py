@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import families, routing
 from ..operators.lifecycle import Lifecycle, lifecycle
+from ..session import materialize
 
 # Which seeds go with which range of reports unless told otherwise.
 DEFAULT_SEEDS = {"replay": "own", "resume": "carry"}
@@ -27,9 +28,14 @@ class Fusion:
     def members(self) -> DataFrame:
         return self.lifecycle.members
 
+    @cached_property
+    def heard(self) -> DataFrame:
+        """Written once: every output starts from it, and the reports are scanned for it alone."""
+        return materialize(routing.heard(self.reports, self.members, self.mode))
+
     @cached_property
     def routed(self) -> DataFrame:
-        return routing.route(self.reports, self.members, self.mode)
+        return routing.identified(self.heard, self.members)
 
     @cached_property
     def accepted(self) -> DataFrame:

@@ -144,6 +144,10 @@ SELECT CASE c WHEN 2 THEN 'SPLIT' ELSE 'MERGE' END AS kind, pos, event_key,
        CASE c WHEN 3 THEN 'DUPLICATE_ID' WHEN 4 THEN 'MALFORMED_ID' WHEN 5 THEN 'EMPTY_LIST' ELSE 'UNKNOWN_ID' END AS reason,
        CASE c WHEN 1 THEN CASE WHEN own_offset <= pos THEN nobody ELSE concat_ws(',', own, nobody) END
               WHEN 2 THEN nobody END AS missing FROM bad"""
+    sql["rejected_events_all"] = sql["rejected_events"] + """
+UNION ALL SELECT kind, pos + 1, event_key, 'DUPLICATE_EVENT', NULL FROM control WHERE kind = 'MERGE'
+UNION ALL SELECT 'DELETE', quarter, concat('noise|', CAST(user_id AS VARCHAR)), 'UNKNOWN_KIND', NULL
+FROM (SELECT DISTINCT user_id FROM src WHERE user_id % 7 = 6), marks"""
     sql["source_registry"] = "WITH" + SOURCES + " SELECT system_uuid, sensor_id, reports_id, data_offset FROM src"
 
     sql["reports_from_offset"] = "WITH" + SOURCES + _reports() + """,
@@ -247,6 +251,12 @@ WHERE r.i <= e.last OR r.n = 1"""
     sql["log_levels"] = rf"""
 SELECT event_id, line, coalesce(nullif(regexp_extract(line, '.*\[(DEBUG|INFO|WARN|ERROR)\].*', 1), ''), 'UNKNOWN') AS level
 FROM (SELECT event_id, {lines} AS line FROM events)"""
+    sql["text_written"] = f"""
+SELECT line, CAST(sum(strlen(line)) OVER () AS BIGINT) AS n_bytes FROM (SELECT {lines} AS line FROM events)"""
+    sql["lines_by_level"] = "SELECT line, level FROM (" + sql["log_levels"] + ")"
+    sql["observed_events"] = """
+SELECT event_id, (SELECT count(*) FROM events) AS n_events, (SELECT max(event_id) FROM events) AS last_event
+FROM events WHERE event_type = 'error'"""
     sql["file_lines"] = """
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
 rows AS (SELECT doc_id, len(a) AS n, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM parts)

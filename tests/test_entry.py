@@ -33,6 +33,7 @@ CHECKED = [
     "family_seeds_carry", "family_updates_replay", "family_snapshot", "published_updates", "stream_latest",
     "throttled_stream", "stop_by_name", "merged_ranges", "mapped_branches", "tee_suffix", "upper_case", "twin_primes",
     "variant_collect", "take_while", "ordered_fold", "tokenize", "log_levels", "file_lines",
+    "rejected_events_all", "source_registry", "reports_filtered", "text_written", "lines_by_level", "observed_events",
 ]
 
 
@@ -95,6 +96,14 @@ def test_record_plan(b1):
     assert "Exchange hashpartitioning" not in between
 
 
+def test_reports_are_scanned_for_one_join_only(b1):
+    """Records, seeds and dead letters start from the written join, also where topics are columns of their own."""
+    events, life = b1
+    out = Fusion(life, b1_reports(events, True), "replay")
+    for frame in (out.records, out.rejected_reports, out.snapshot):
+        assert "events.parquet" not in plan_of(frame).split("== Physical Plan ==")[1]
+
+
 def test_pruned_scan(b1):
     events, life = b1
     routed = routing.route(b1_reports(events), life.members, "resume").select("family_id", "pos")
