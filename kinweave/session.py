@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     # split a hot join key even where that costs one more exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows may hold long texts, so batches for Python are bounded in bytes as well
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
