@@ -333,16 +333,24 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 def stream_updates(spark, sf_dir):
     """The same records from a stream that arrives in two parts and is restarted between them."""
+    return _streamed_in_two_parts(spark, sf_dir, F.lit(False))
+
+
+def stream_late_updates(spark, sf_dir):
+    """As above, but a tenth of the reports of the first part come with the second: they take effect then."""
+    return _streamed_in_two_parts(spark, sf_dir, (F.col("kind") == "REPORT") & (F.col("offset") % 10 == 7))
+
+
+def _streamed_in_two_parts(spark, sf_dir, late):
     events = _events(spark, sf_dir)
     folder = _scratch(spark, "stream-updates")
-    rows = unified(b1_control(events), b1_reports(events)).withColumn(
-        "part", F.col("pos") >= events.agg(F.floor(F.count(F.lit(1)) * 5 / 8).cast("bigint").alias("n")).scalar()
-    )
+    cut = events.agg(F.floor(F.count(F.lit(1)) * 5 / 8).cast("bigint").alias("n")).scalar()
+    rows = unified(b1_control(events), b1_reports(events)).withColumn("part", late | (F.col("pos") >= cut))
     engine = FusionStream(spark, f"{folder}/state", "resume")
     for part in (False, True):
         rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
         arrived = spark.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/in")
-        engine.start(arrived, f"fusion-{part}", f"{folder}/checkpoint", availableNow=True).awaitTermination()
+        engine.start(arrived, f"fusion-{uuid.uuid4().hex}", f"{folder}/checkpoint", availableNow=True).awaitTermination()
     return exploded_records(engine.state.read("updates"))
 
 
@@ -459,6 +467,7 @@ def _own_queries() -> dict[str, Query]:
         "published_updates": published_updates,
         "family_snapshot": family_snapshot,
         "stream_updates": stream_updates,
+        "stream_late_updates": stream_late_updates,
         "stream_latest": stream_latest,
         "throttled_stream": throttled_stream,
         "stop_by_name": stop_by_name,

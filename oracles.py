@@ -100,6 +100,30 @@ SELECT x."entityID", x.version_seq, x.pos, x.topic, x."offset", x."stateChanges"
 FROM records x JOIN reports p ON p.pos = x.pos LEFT JOIN reports k ON k.pos = x.known"""
 
 
+def _late_updates() -> str:
+    """Resume updates where late reports stand right above all rows of the first part.
+
+    ``pos`` numbers the reports in their effective order, ``effective`` is where they take effect.
+    """
+    before, after = _updates("resume").split("reports AS (\n")
+    arrived, after = after.split("FROM events)", 1)
+    sql = before + """first_part_end AS (SELECT max(p) AS seen FROM (
+  SELECT event_id AS p FROM events WHERE event_id % 10 <> 7 UNION ALL SELECT data_offset FROM src
+  UNION ALL SELECT half FROM joined) WHERE p < (SELECT CAST(floor(count(*) * 5 / 8) AS BIGINT) FROM events)),
+arrived AS (
+""" + arrived + """FROM events),
+reports AS (SELECT * REPLACE (row_number() OVER (ORDER BY effective, topic, "offset") AS pos) FROM (
+  SELECT *, CASE WHEN "offset" % 10 = 7 AND pos <= seen THEN seen + 1 ELSE pos END AS effective
+  FROM arrived, first_part_end))""" + after
+    for old, new in (
+        ("r.pos < m.v_to", "r.effective < m.v_to"), ("r.pos >= m.v_from", "r.effective >= m.v_from"),
+        ("x.version_seq, x.pos,", "x.version_seq, p.effective AS pos,"),
+    ):
+        assert sql.count(old) == 1, old
+        sql = sql.replace(old, new)
+    return sql
+
+
 MEMBER_COLUMNS = """family_id, version_seq, state, v_from, v_to, n_sons, son_ordinal, system_uuid, sensor_id, reports_id,
        data_offset"""
 
@@ -205,6 +229,7 @@ SELECT x."entityID", x.version_seq, x.pos, x.n_sons, l.family_id IS NOT NULL AS
        p.nickname AS preferred_nickname, x.son_ordinal, x.son_id, {_flat('k', 'son_')}
 FROM ranked x JOIN reports p ON p.pos = x.pos LEFT JOIN reports k ON k.pos = x.known
 LEFT JOIN live l ON l.family_id = x."entityID" WHERE x.r = 1"""
+    sql["stream_late_updates"] = _late_updates()
     sql["stream_updates"] = sql["family_updates_resume"]
     sql["stream_latest"] = "WITH" + SOURCES + _reports() + f""",
 last AS (SELECT topic, "externalSystemID" AS ext, max(pos) AS pos FROM reports GROUP BY ALL)
