@@ -1,6 +1,8 @@
 """The registered queries against their SQL, the binding counts, and what the plans may contain."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -121,3 +123,20 @@ def test_snapshot_needs_no_record_log(b1):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 1000
+
+
+def test_workers_get_the_package(tmp_path, sf):
+    """Run from a folder that does not hold the package, which only the driver has on its path."""
+    home = os.path.dirname(os.path.abspath(contract.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {home!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as contract
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {str(tmp_path / 'kept')!r}).getOrCreate())
+print("rows", contract.queries()["family_versions"](spark, {sf!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "rows 115" in done.stdout, done.stderr[-2000:]
