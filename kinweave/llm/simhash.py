@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.components import component_labels
 from ..session import materialize
@@ -75,7 +75,7 @@ def _within(counts: np.ndarray) -> np.ndarray:
 def fingerprint_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp) for each row; null and empty texts have fingerprint zero."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2_000_000):
+        for part in slices(batches, "text", 1_000_000):
             prints = fingerprints(*text_buffer(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints.view(np.int64))], ["id", "fp"])
 
@@ -187,21 +187,23 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kept = labels.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     kept = materialize(kept.select(F.col("id").alias(id_col), "n"))
     columns = df.columns
-    single = df.join(kept.filter("n = 1").select(id_col), id_col, "left_semi")
+    # the kept ids grow with the documents: one plan for all sizes, never a broadcast
+    single = df.join(kept.filter("n = 1").select(id_col).hint("merge"), id_col, "left_semi")
     several = df.join(kept.filter("n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
     nameless = df.filter(F.col(id_col).isNull())
     lone = labels.filter("component is null").select("fp").distinct()
-    lone = _with_print(nameless, text_col).join(lone, F.col("_fp") == F.col("fp"), "left_semi").dropDuplicates(["_fp"])
+    taken = {c.lower() for c in columns}
+    own = next(name for name in (f"_print{i}" for i in range(len(taken) + 1)) if name not in taken)
+    lone = lone.withColumnRenamed("fp", f"{own}_kept")
+    lone = _with_print(nameless, text_col, own).join(lone, F.col(own) == F.col(f"{own}_kept"), "left_semi").dropDuplicates([own])
     return single.select(columns).unionByName(several.select(columns)).unionByName(lone.select(columns))
 
 
-def _with_print(df: DataFrame, text_col: str) -> DataFrame:
-    """All columns and the fingerprint in ``_fp``."""
+def _with_print(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """All columns and the fingerprint under a name that is free."""
     def add(batches):
         for batch in batches:
             prints = fingerprints(*text_buffer(batch.column(text_col)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, name])
 
-    from pyspark.sql import types as T
-
-    return df.mapInArrow(add, T.StructType([*df.schema.fields, T.StructField("_fp", T.LongType())]))
+    return df.mapInArrow(add, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
