@@ -5,7 +5,8 @@ no letter is a space and n-grams with two spaces in a row do not count, so n-gra
 hashes to one of 2**BUCKET_BITS embeddings; their mean goes into a softmax over the learned languages.
 Embeddings and weights are trained by stochastic gradient descent in numpy on a bounded sample: the
 PER_LANGUAGE rows of lowest id hash of each language. A fifth of it calibrates: a temperature makes the
-score the probability of being right, and a row whose score is under MIN_SCORE is rejected.
+score the probability of being right, and a row whose score is under MIN_SCORE is rejected. Texts of few
+n-grams have their logits shrunk.
 
 For prediction, embedding times weights is one short vector per bucket, so a text costs one look-up per
 n-gram and no row is shuffled.
@@ -26,9 +27,11 @@ DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
 PER_LANGUAGE = 500
 EPOCHS = 20
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
+#: A text of so many n-grams counts with half its logits: few n-grams are little evidence.
+SHRINK = 10
 UNKNOWN = "und"
-_SLICE = 1_000_000
+_SLICE = 500_000
 
 _PLAIN = np.full(256, ord(" "), np.uint8)
 for _byte in range(ord("a"), ord("z") + 1):
@@ -77,7 +80,7 @@ class Classifier:
         """Logits, (rows, languages)."""
         buckets, rows = subwords(data, offsets)
         n = len(offsets) - 1
-        counts = np.maximum(np.bincount(rows, minlength=n), 1)
+        counts = np.bincount(rows, minlength=n) + SHRINK
         sums = [np.bincount(rows, self.logits[buckets, k], n) for k in range(len(self.languages))]
         return np.stack(sums, axis=1) / counts[:, None] + self.bias
 
@@ -119,7 +122,12 @@ def calibrate(model: Classifier, raw: np.ndarray, labels: np.ndarray) -> Classif
     """Sets the temperature of least log loss on rows that were not trained on."""
     if len(labels):
         grid = np.geomspace(0.05, 20, 61)
-        losses = [-np.log(softmax(raw / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
+        # a share of the rows counts as wrong though none is, or the scores would all be 1
+        wrong = 1 / (len(labels) + 2)
+        logs = [np.log(softmax(raw / t) + 1e-12) for t in grid]
+        own = [x[np.arange(len(labels)), labels] for x in logs]
+        rest = max(raw.shape[1] - 1, 1)
+        losses = [-((1 - wrong) * y + wrong * (x.sum(axis=1) - y) / rest).mean() for x, y in zip(logs, own)]
         model.temperature = float(grid[int(np.argmin(losses))])
     return model
 
@@ -134,10 +142,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     rows = df.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")
     ).filter((crc_fold(F.col("id"), folds) != 0) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "label").distinct().withColumn("rank", F.row_number().over(order)).filter(
+    # the lowest hashes of a label are under a bound that lets some four times as many through, so that
+    # few rows of a frequent label meet in the window; labels are a fixed, short list
+    bits = 40
+    named = rows.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("rank_hash"))
+    share = named.groupBy("label").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
+    near = named.join(F.broadcast(share), "label").filter(F.col("rank_hash") < F.col("share") * float(1 << bits))
+    order = Window.partitionBy("label").orderBy("rank_hash", "id")
+    chosen = near.select("id", "label", "rank_hash").distinct().withColumn("rank", F.row_number().over(order)).filter(
         F.col("rank") <= per_language
-    )
+    ).drop("rank_hash")
     # per_language ids of each language: languages are a fixed, short list
     sample = rows.join(F.broadcast(chosen), ["id", "label"])
 
@@ -145,34 +159,52 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
         for part in slices(batches, "text", _SLICE):
             buckets, row = subwords(*text_buffer(part.column("text")))
             key, n = np.unique((row << BUCKET_BITS) | buckets, return_counts=True)
-            cuts = np.searchsorted(key >> BUCKET_BITS, np.arange(part.num_rows + 1)).astype(np.int32)
-            pack = lambda x: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x))
+            cuts = np.searchsorted(key >> BUCKET_BITS, np.arange(part.num_rows + 1)).astype(np.int64)
+            own = (key & ((1 << BUCKET_BITS) - 1)).astype("<i4")
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), part.column("rank"), part.column("id"), pack((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32)), pack(n)],
+                [part.column("label"), part.column("rank"), part.column("id"), cut(own), cut(n.astype("<f4"))],
                 ["label", "rank", "id", "buckets", "n"],
             )
 
     found = sample.select("label", "rank", "id", "text").mapInArrow(
-        count, "label string, rank int, id string, buckets array<int>, n array<bigint>"
+        count, "label string, rank int, id string, buckets binary, n binary"
     ).orderBy("label", "rank", "id", F.hash("buckets")).collect()
     if not found:
         return None
     languages = sorted({r.label for r in found})
     labels = np.array([languages.index(r.label) for r in found])
-    features = []
+    features, sizes = [], []
     for r in found:
-        n = np.array(r.n, np.float32)
-        features.append((np.array(r.buckets, np.int64), n / max(float(n.sum()), 1.0)))
+        n = np.frombuffer(r.n, "<f4")
+        sizes.append(float(n.sum()))
+        features.append((np.frombuffer(r.buckets, "<i4"), n / np.float32(max(float(n.sum()), 1.0))))
     held = np.array([r.rank % 5 == 0 for r in found])
     model = train([f for f, h in zip(features, held) if not h] or features, labels[~held] if (~held).any() else labels, languages)
-    raw = [shares @ model.logits[buckets] + model.bias for (buckets, shares), h in zip(features, held) if h]
+    weight = [s / (s + SHRINK) for s in sizes]
+    raw = [w * (shares @ model.logits[buckets]) + model.bias for (buckets, shares), w, h in zip(features, weight, held) if h]
     return calibrate(model, np.array(raw).reshape(-1, len(languages)), labels[held])
 
 
+def _judge(texts: pa.Array, model: Classifier | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, whether it is rejected) of each text."""
+    data, offsets = text_buffer(texts)
+    raw = data.tobytes()
+    known = np.array([has_letter(raw[a:b]) for a, b in zip(offsets, offsets[1:])], bool)
+    names, best, score = [UNKNOWN], np.zeros(len(known), int), np.zeros(len(known))
+    if model is None:
+        known[:] = False
+    else:
+        best, score = model.predict(data, offsets)
+        names = model.languages
+    score = np.where(known, score, 0.0)
+    return [names[b] if k else UNKNOWN for b, k in zip(best, known)], score, ~known | (score < MIN_SCORE)
+
+
 def predict(df: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and ``lang_pred``, ``lang_score``, ``lang_rejected``; reads the text alone.
 
-    ``und`` with score 0, rejected, for a null text or one without a letter, and for all rows where
+    Columns of these names are replaced. ``und`` with score 0, rejected, for a null text or one without a letter, and for all rows where
     nothing could be learned (no model).
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -182,20 +214,9 @@ def predict(df: DataFrame, model: Classifier | None, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for part in slices(batches, text_col, _SLICE):
-            data, offsets = text_buffer(part.column(text_col))
-            raw = data.tobytes()
-            known = np.array([has_letter(raw[a:b]) for a, b in zip(offsets, offsets[1:])], bool)
-            names, best, score = [UNKNOWN], np.zeros(len(known), int), np.zeros(len(known))
-            if model is None:
-                known[:] = False
-            else:
-                best, score = model.predict(data, offsets)
-                names = model.languages
-            score = np.where(known, score, 0.0)
-            pred = [names[b] if k else UNKNOWN for b, k in zip(best, known)]
+            pred, score, rejected = _judge(part.column(text_col), model)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < MIN_SCORE))],
-                [*part.schema.names, *added],
+                [*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], [*part.schema.names, *added]
             )
 
     return base.mapInArrow(run, T.StructType([
@@ -213,5 +234,11 @@ def language_report(df: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def accepted(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose language is not rejected."""
-    return predict(df, fit(df)).filter(~F.col("lang_rejected")).select(*df.columns)
+    """The rows of ``df``, with their columns as they are, whose language is not rejected."""
+    sent = df.sparkSession.sparkContext.broadcast(fit(df))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", _SLICE):
+            yield part.filter(pa.array(~_judge(part.column("text"), sent.value)[2]))
+
+    return df.mapInArrow(keep, df.schema)

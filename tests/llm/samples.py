@@ -11,7 +11,7 @@ SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 #: Names that operators use inside; a table may have them as columns of its own.
-CLASHING = ("id", "fp", "component", "size", "rate", "word", "n", "h", "u", "v", "key", "text_hash", "score")
+CLASHING = ("id", "fp", "component", "size", "rate", "word", "n", "h", "u", "v", "key", "text_hash", "score", "lang_pred", "_print0", "row", "total")
 
 
 def words(text):
