@@ -38,8 +38,8 @@ LEVELS = 33
 ROUNDS = 3
 #: Hash that stands for the end token.
 END_TOKEN = np.int64(0x5BD1E995)
-_FLUSH = 2_000_000
-_SLICE = 2_000_000
+_FLUSH = 1_000_000
+_SLICE = 1_000_000
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
