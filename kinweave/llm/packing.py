@@ -28,8 +28,8 @@ from .secrets import PRE_TOKENS, _encoding, load_ranks
 
 ROW = 2048
 END_ID = 50256
-BLOCK_TOKENS = 2_000_000
-_KNOWN = 300_000
+BLOCK_TOKENS = 1_000_000
+_KNOWN = 200_000
 
 
 class RoomTree:
@@ -84,27 +84,33 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = ROW) -> list[list[int]]
     return rows
 
 
+class PreTokens(dict):
+    """Ids of pre-tokens as bytes of 32-bit numbers; those already met are looked up."""
+
+    def __init__(self, ranks: bytes):
+        super().__init__()
+        self.encoding = _encoding(ranks)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.encoding.encode_ordinary(word), "<i4").tobytes()
+        if len(self) >= _KNOWN:
+            self.clear()
+        if len(word) <= 32:
+            self[word] = ids
+        return ids
+
+
 class Tokenizer:
-    """Ids of texts; pre-tokens already met are looked up."""
+    """Ids of texts."""
 
     def __init__(self, ranks: bytes):
         import regex
 
-        self.encoding, self.known = _encoding(ranks), {}
+        self.known = PreTokens(ranks)
         self.cut = regex.compile(PRE_TOKENS).findall
 
-    def ids(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for word in self.cut(text):
-            found = known.get(word)
-            if found is None:
-                found = self.encoding.encode_ordinary(word)
-                if len(known) >= _KNOWN:
-                    known.clear()
-                if len(word) <= 32:
-                    known[word] = found
-            out += found
-        return out
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(text))), "<i4")
 
 
 def split(length: int, size: int = ROW) -> list[tuple[int, int]]:
@@ -170,7 +176,7 @@ def pack(
         for part in slices(batches, "text", 1_000_000):
             id_type = part.column("id").type
             for own, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                ids = np.array([*tokenizer.ids(text or ""), end_id], "<i4")
+                ids = np.append(tokenizer.ids(text or ""), np.int32(end_id))
                 documents.append((own, ids))
                 held += len(ids)
                 if held >= block_tokens:

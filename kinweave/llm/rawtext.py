@@ -41,6 +41,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             last = max(last, first + 1)
             yield batch.slice(first, last - first)
             first = last
+    # the worker lives on: what the next operator needs should not come on top
+    pa.default_memory_pool().release_unused()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ MIN_MATCH = 4
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 _FILTER_BITS = 22
-_SLICE = 2_000_000
+_SLICE = 1_000_000
 
 _PLAIN = np.full(256, ord(" "), np.uint8)
 for _byte in b"0123456789abcdefghijklmnopqrstuvwxyz":
