@@ -154,7 +154,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component) for every row: its fingerprint and the smallest id it is linked to.
+    """(id, fp, component, class) for every row: its fingerprint, the smallest id it is linked to and its group.
 
     Null ids are never a smallest id (null where a component has no other); rows that repeat keep their
     place each; texts without words share fingerprint zero. An empty table gives an empty result.
@@ -166,7 +166,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "fp", "low", F.coalesce("component", "fp").alias("class")
     )
     lowest = placed.groupBy("class").agg(F.min("low").alias("component"))
-    return rows.join(placed.join(lowest, "class").select("fp", "component"), "fp").select("id", "fp", "component")
+    return rows.join(placed.join(lowest, "class").select("fp", "component", "class"), "fp").select("id", "fp", "component", "class")
 
 
 def near_duplicate_report(df: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     single = df.join(kept.filter("n = 1").select(id_col).hint("merge"), id_col, "left_semi")
     several = df.join(kept.filter("n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
     nameless = df.filter(F.col(id_col).isNull())
-    lone = labels.filter("component is null").select("fp").distinct()
+    lone = labels.filter("component is null").groupBy("class").agg(F.min("fp").alias("fp")).select("fp")
     taken = {c.lower() for c in columns}
     own = next(name for name in (f"_print{i}" for i in range(len(taken) + 1)) if name not in taken)
     lone = lone.withColumnRenamed("fp", f"{own}_kept")

@@ -85,3 +85,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted(i for i in ids if i is not None) == sorted({c for c in low if c is not None})
     assert ids.count(None) == len({p for (i, p), c in zip(prints, low) if c is None})
     assert simhash.one_of_each(empty(spark)).count() == 0
+
+
+def test_near_copies_without_id_leave_one_row(spark):
+    rng = random.Random(21)
+    base = ["v%d" % rng.randrange(10**6) for _ in range(400)]
+    texts = [" ".join(base[:k] + ["x%d" % k] + base[k + 1:]) for k in range(0, 400, 40)] + ["something else altogether " * 3]
+    low = components([(i, fingerprint(t)) for i, t in enumerate(texts)])
+    prints = {fingerprint(t) for t in texts}
+    assert len(set(low)) < len(prints)
+    kept = simhash.one_of_each(frame(spark, [(None, t, "en", "a", 1) for t in texts])).collect()
+    assert len(kept) == len(set(low)) == len({low[texts.index(r.text)] for r in kept})
