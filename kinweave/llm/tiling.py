@@ -1,12 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes in ASCII lower case, so punctuation and case
-hide nothing. A benchmark item and a document that share a seed of MIN_MATCH words are tiled: the longest
+hide nothing; in scripts written without spaces each character is a word. A benchmark item and a document that share a seed of MIN_MATCH words are tiled: the longest
 common run of unmarked words is found by Karp-Rabin hashes, marked in both, and so on down to MIN_MATCH,
 which also catches passages in another order. The item's share of marked words is its coverage; at
-THRESHOLD or more the document leaks the item.
+THRESHOLD or more the document leaks the item. An item of fewer than MIN_MATCH words leaks where a document
+has it whole.
 
-The benchmark is the stated query set: its items are read in blocks of at most BLOCK_WORDS words, each
+The benchmark is the stated query set: its words are hashed and its blocks of about BLOCK_WORDS words numbered
+in a Spark job; the blocks are then read one at a time, each
 sent to the tasks, and every document meets every block once, without a shuffle. Seeds of a block are a
 bit table in front of a sorted list; only documents with seeds that could cover THRESHOLD of an item are
 tiled, so the tiling never decides less than it would on all pairs.
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
@@ -27,6 +30,8 @@ from .rawtext import mix, slices, span_hashes, text_buffer, word_spans
 MIN_MATCH = 4
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
+#: Code points of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Kana and Han.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _FILTER_BITS = 22
 _SLICE = 1_000_000
 
@@ -42,9 +47,33 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(hashes, cuts) of the words of each row."""
     plain = _PLAIN[data]
     starts, ends, cuts = word_spans(plain, offsets)
+    inner = _character_borders(plain)
+    if len(inner) and len(starts):
+        word = np.maximum(np.searchsorted(starts, inner, "right") - 1, 0)
+        inner = inner[(inner > starts[word]) & (inner < ends[word])]
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        cuts = np.searchsorted(starts, offsets)
     return span_hashes(plain, starts, ends), cuts
 
 
+def _character_borders(data: np.ndarray) -> np.ndarray:
+    """Starts and ends of the characters of UNSPACED scripts in UTF-8 bytes."""
+    lead = np.flatnonzero(data >= 0xE0)
+    lead = lead[lead < len(data) - 2]
+    if not len(lead):
+        return lead
+    # the last byte of four does not matter for the ranges
+    first, second, third = (data[lead + k].astype(np.int64) for k in range(3))
+    point = np.where(
+        first < 0xF0, (first & 15) << 12 | (second & 63) << 6 | third & 63, (first & 7) << 18 | (second & 63) << 12 | (third & 63) << 6
+    )
+    own = np.zeros(len(lead), bool)
+    for low, high in UNSPACED:
+        own |= (point >= low) & (point <= high)
+    at = lead[own]
+    return np.unique(np.concatenate([at, at + np.where(first[own] < 0xF0, 3, 4)]))
+
+
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of ``size`` words, from one rolling sum."""
     if len(ids) < size:
@@ -58,11 +87,11 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return (sums[size:] - sums[:-size]) * powers[: len(ids) - size + 1]
 
 
-def seeds_of(ids: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of MIN_MATCH words."""
-    n = max(len(ids) - MIN_MATCH + 1, 0)
+def seeds_of(ids: np.ndarray, size: int = MIN_MATCH) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = max(len(ids) - size + 1, 0)
     out = np.zeros(n, np.uint64)
-    for j in range(MIN_MATCH):
+    for j in range(size):
         out = out * np.uint64(0xD6E8FEB86659FD93) + ids[j: j + n]
     return mix(out)
 
@@ -114,6 +143,27 @@ class Block:
         self.seeds, self.item, self.at = self.seeds[order], self.item[order], self.at[order]
         self.present = np.zeros(1 << _FILTER_BITS, bool)
         self.present[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
+        #: items too short for a seed by their size: (hashes in order, item)
+        self.short = {}
+        for size in range(1, MIN_MATCH):
+            own = np.array([i for i, (_, ids) in enumerate(items) if len(ids) == size], np.int64)
+            if len(own):
+                whole = np.concatenate([seeds_of(items[i][1], size) for i in own])
+                order = np.argsort(whole, kind="stable")
+                self.short[size] = whole[order], own[order]
+
+    def whole_short(self, ids: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, words, 1) of the rows that have an item of fewer than MIN_MATCH words whole."""
+        out = []
+        for size, (own, item) in self.short.items():
+            seeds = seeds_of(ids, size)
+            hit = np.flatnonzero(np.isin(seeds, own))
+            row = np.searchsorted(cuts, hit, "right") - 1
+            whole = hit + size <= cuts[row + 1]
+            low, high = (np.searchsorted(own, seeds[hit[whole]], side) for side in ("left", "right"))
+            met = {(r, int(item[k])) for r, x, y in zip(row[whole].tolist(), low.tolist(), high.tolist()) for k in range(x, y)}
+            out += [(r, i, size, 1) for r, i in sorted(met)]
+        return out
 
     def leaks(self, ids: np.ndarray, cuts: np.ndarray, threshold: float) -> list[tuple[int, int, int, int]]:
         """(row, item, covered words, tiles) of the rows that reach the threshold."""
@@ -124,7 +174,7 @@ class Block:
         hit, row = hit[whole], row[whole]
         low, high = np.searchsorted(self.seeds, seeds[hit]), np.searchsorted(self.seeds, seeds[hit], "right")
         hit, row, low, high = (x[high > low] for x in (hit, row, low, high))
-        out = []
+        out = self.whole_short(ids, cuts)
         borders = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else [0]
         for a, b in zip(borders[:-1], borders[1:]):
             met = defaultdict(list)
@@ -162,20 +212,39 @@ def _run(pairs: set[tuple[int, int]], start: tuple[int, int]) -> int:
     return n
 
 
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, words, part, place): an item's hashed words, the task, and the words of the task's items before it."""
+    part, done = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for piece in slices(iter([batch]), "t", _SLICE):
+            ids, cuts = word_ids(*text_buffer(piece.column("t")))
+            n = piece.num_rows
+            words = [ids[lo:hi].astype("<u8").tobytes() for lo, hi in zip(cuts, cuts[1:])]
+            place = done + cuts[:-1] - cuts[0]
+            done += int(cuts[-1] - cuts[0])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("i"), pa.array(words, pa.binary()), pa.array(np.full(n, part, np.int32)), pa.array(place.astype(np.int64))],
+                ["i", "words", "part", "place"],
+            )
+
+
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
-    """The items of at least MIN_MATCH words in blocks; shorter and null texts can cover nothing."""
-    items, size = [], 0
-    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        ids, _ = word_ids(*text_buffer(pa.array([r.t], pa.string())))
-        if len(ids) < MIN_MATCH:
-            continue
-        if items and size + len(ids) > BLOCK_WORDS:
-            yield Block(items)
-            items, size = [], 0
-        items.append((r.i, ids))
-        size += len(ids)
-    if items:
-        yield Block(items)
+    """The items in blocks, one read at a time; null texts and those without words cover nothing."""
+    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    kind = rows.schema["i"].dataType.simpleString()
+    items = materialize(rows.mapInArrow(_item_rows, f"i {kind}, words binary, part int, place bigint").filter("length(words) > 0"))
+    ends = items.groupBy("part").agg(F.max(F.col("place") + F.expr("length(words) div 8")).alias("n")).orderBy("part").collect()
+    starts, before = {}, 0
+    for r in ends:
+        starts[r.part], before = before, before + r.n
+    if not starts:
+        return
+    at = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("part"))
+    number = ((at + F.col("place")) / BLOCK_WORDS).cast("bigint")
+    for k in range(-(-before // BLOCK_WORDS)):
+        own = items.filter(number == k).orderBy("part", "place").select("i", "words").collect()
+        if own:
+            yield Block([(r.i, np.frombuffer(r.words, "<u8")) for r in own])
 
 
 def contamination(

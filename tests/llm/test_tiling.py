@@ -95,3 +95,18 @@ def test_word_ids_ignore_case_and_punctuation():
     data, offsets = rawtext.text_buffer(pa.array(["The cat, sat!", "the CAT sat", "The cät"]))
     ids, cuts = tiling.word_ids(data, offsets)
     assert np.array_equal(ids[cuts[0]:cuts[1]], ids[cuts[1]:cuts[2]]) and ids[cuts[2]] == ids[0] and ids[cuts[2] + 1] != ids[1]
+
+
+def test_short_items_and_scripts_without_spaces_are_matched(spark, monkeypatch):
+    items = [(1, "Omega seven"), (2, "床前明月光疑是地上霜"), (3, "ที่นี่มีแมว"), (4, "lambda"), (5, None), (6, "?!"), (7, "𠀀𠀁𠀂𠀃𠀄")]
+    texts = ["It is omega, seven!", "omega and seven", "他说床前明月光，疑是地上霜。", "床前", "บอกว่าที่นี่มีแมวดำ", "a lambda", "omega", None, "seven lambdas", "x𠀀𠀁𠀂𠀃𠀄y"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    want = {(0, 1), (2, 2), (4, 3), (5, 4), (9, 7)}
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (1_000_000, 8):
+        monkeypatch.setattr(tiling, "BLOCK_WORDS", size)
+        got = tiling.contamination(frame(spark, rows), benchmark).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert all(r.coverage >= 0.5 for r in got)
+        left = tiling.without_benchmark(frame(spark, rows), benchmark).collect()
+        assert {r.doc_id for r in left} == set(range(10)) - {d for d, _ in want}
