@@ -59,10 +59,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, cuts): words as byte ranges; row i has words cuts[i]:cuts[i + 1]."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = IS_WORD[data]
+    inside[1:-1] = is_word[data]
     edge = inside[1:] != inside[:-1]
     # a word also starts and ends where a row does
     border = np.unique(offsets[1:-1])
@@ -94,13 +96,32 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges, by differences of one polynomial prefix sum."""
-    n = len(data)
+    return range_hashes(_BYTE_VALUES[data], starts, ends)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of a sequence that is given by a random 64-bit value for each element."""
+    n = len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _power("up", _MULTIPLIER, n), out=sums[1:])
+    np.cumsum(values * _power("up", _MULTIPLIER, n), out=sums[1:])
     raw = (sums[ends] - sums[starts]) * _power("down", _INVERSE, n + 1)[starts]
     return mix(raw + (ends - starts).astype(np.uint64))
 
 
+def take_ranges(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets): the ranges starts[i]:starts[i] + lengths[i] of the data, one after the other."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    places = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return data[places], offsets
+
+
+def string_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Strings from UTF-8 bytes and the offsets of each."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers)
+
+
 def row_sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Sums of values[cuts[i]:cuts[i + 1]]; zero where that is empty."""
     sums = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
