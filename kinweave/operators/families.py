@@ -153,7 +153,8 @@ def _of_several(grouped: DataFrame, start: DataFrame, keyed: list[str], opens: C
         .agg(F.sort_array(F.collect_list(entry)).alias("_entries"), F.first("state").alias("state"))
     )
     own = F.filter("_entries", lambda e: e["reporter_ordinal"] == F.col("son_ordinal"))
-    per_son = blocks.join(start.withColumn("_opens", opens), keyed).select(
+    # a broadcast of the reports, where they are few, would undo their partitioning
+    per_son = blocks.join(start.withColumn("_opens", opens).hint("merge"), keyed).select(
         *keyed, "_block", "son_ordinal", "system_uuid", "seed", "state", "_opens",
         F.get(own, F.size(own) - 1)["attributes"].alias("_end"),
         F.when(F.col("son_ordinal") == 0, F.col("_entries")).alias("_entries"),

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .attributes import converted
-from .ordered import position_cuts, previous_known
+from .intervals import FEW, interval_join
 
 MODES = ("replay", "resume")
-VERSIONS_PER_JOIN = 64
-ROWS_PER_CHUNK = 4_000_000
 
-_VERSION = (
-    "family_id", "version_seq", "state", "v_from", "v_to", "n_sons", "son_ordinal", "system_uuid",
-    "sensor_id", "reports_id", "data_offset", "same_source_ordinal", "same_source_uuid",
+_SOURCE = ("sensor_id", "reports_id")
+# what differs from version to version of a source
+_OF_STEP = (
+    "family_id", "version_seq", "state", "v_to", "n_sons", "son_ordinal", "same_source_ordinal", "same_source_uuid",
 )
+_VERSION = (*_OF_STEP, "v_from", "system_uuid", *_SOURCE, "data_offset")
 ROUTED_COLUMNS = (
     "family_id", "version_seq", "state", "v_to", "n_sons", "pos", "topic", "offset", "sub_ordinal",
     "native", "reporter_ordinal", "reporter_uuid", "attributes",
@@ -47,121 +48,71 @@ def _native() -> Column:
     return F.col("report.basicAttributes.sourceName").eqNullSafe(F.col("topic"))
 
 
-def restless_sources(members: DataFrame, versions_per_join: int = VERSIONS_PER_JOIN) -> DataFrame | None:
-    """Sources with too many versions to try them all for each report; None without any."""
-    versions = members.groupBy("system_uuid").agg(F.count(F.lit(1)).alias("_versions"))
-    many = versions.filter(F.col("_versions") > versions_per_join).select("system_uuid")
-    return None if many.isEmpty() else many
+def _shaped(reports: DataFrame) -> DataFrame:
+    """What routing needs of a report, taken before any join so that the scan reads only what is asked for."""
+    named, external = F.col("report.basicAttributes.sourceName"), F.col("report.externalSystemID")
+    return reports.select(
+        "topic", "offset", "pos", F.col("topic").alias("sensor_id"), external.alias("reports_id"), _native().alias("native"),
+        F.when(~_native(), named).alias("_named"), converted(F.col("report")).alias("attributes"),
+    )
 
 
-def subscribed(reports: DataFrame, members: DataFrame, mode: str, many: DataFrame | None = None,
-               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Each report with every version subscribed to it.
+def subscribed(points: DataFrame, members: DataFrame, mode: str, few: int = FEW) -> DataFrame:
+    """Each report, known by ``sensor_id`` and ``reports_id``, with every version subscribed to it.
 
     ``replay``: a version reads its sons from their first offset up to its own closing position.
-    ``resume``: only what lies between its opening and its closing. ``many`` names the sources
-    whose versions are looked up as of the report instead of being tried one by one.
+    ``resume``: only what lies between its opening and its closing. ``members`` has the versions of a source
+    without gaps, as they follow each other: all, or all from some version on.
+
+    Either way a report meets versions by position bins. In ``resume`` a version is an interval of its own. In
+    ``replay`` the versions of a source nest, so for sources with more than ``few`` of them a report
+    looks for the one that is live then, and that one's later steps follow by number.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    members = members.select(*_VERSION)
-    listens = (
-        (F.col("topic") == F.col("sensor_id"))
-        & (F.col("report.externalSystemID") == F.col("reports_id"))
-        & (F.col("offset") >= F.col("data_offset"))
+    versions = members.select(*_VERSION, "source_step")
+    if mode == "resume":
+        met = interval_join(points, versions, _SOURCE, "pos", "v_from", "v_to", few)
+        return met.filter(F.col("offset") >= F.col("data_offset"))
+    ends = versions.groupBy("system_uuid").agg(
+        F.min("source_step").alias("_first"), F.max("source_step").alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    before_end = F.col("v_to").isNull() | (F.col("pos") < F.col("v_to"))
-    if mode == "replay":
-        return reports.join(members, listens & before_end)
-    members = members.filter(F.col("v_to").isNull() | (F.col("v_to") > F.col("v_from")))
-    in_range = before_end & (F.col("pos") >= F.col("v_from"))
-    if many is None:
-        return reports.join(members, listens & in_range)
-    few = members.join(many, "system_uuid", "left_anti").select(*_VERSION)
-    return reports.join(few, listens & in_range).unionByName(
-        _as_of_source(reports, members.join(many, "system_uuid").select(*_VERSION), listens, rows_per_chunk)
+    many = F.col("_n") > few
+    spans = versions.join(ends, "system_uuid").withColumn(
+        "_since", F.when(many & (F.col("source_step") > F.col("_first")), F.col("v_from"))
+    ).withColumn("_last", F.when(many, F.col("_last")).otherwise(F.col("source_step"))).drop("_first", "_n")
+    met = interval_join(points, spans, _SOURCE, "pos", "_since", "v_to", few).filter(F.col("offset") >= F.col("data_offset"))
+    steps = met.withColumn("_step", F.explode(F.sequence("source_step", "_last"))).withColumn(
+        "_later", F.when(F.col("_step") > F.col("source_step"), F.col("_step"))
     )
-
-
-def _as_of_source(reports: DataFrame, members: DataFrame, listens: Column, rows_per_chunk: int) -> DataFrame:
-    """Resume routing for sources with very many versions: one look-up per report, not per version.
-
-    Version starts and reports of a source stand in one order; each report takes the last start
-    before it. The versions of a source follow each other without gaps, so that one is right.
-    """
-    names = ["sensor_id", "reports_id", "data_offset"]
-    own = members.groupBy("system_uuid").agg(*[F.first(name).alias(name) for name in names])
-    asked = reports.join(own, listens).select(
-        "system_uuid", F.col("pos").alias("_at"), F.lit(1).alias("_rank"), "topic", "offset",
-        F.struct(*reports.columns).alias("_row"), F.lit(None).alias("_start"),
-    )
-    version = F.struct(*[F.col(name) for name in _VERSION])
-    starts = members.select(
-        "system_uuid", F.col("v_from").alias("_at"), F.lit(0).alias("_rank"), F.lit("").alias("topic"),
-        F.lit(0).cast("bigint").alias("offset"), F.lit(None).alias("_row"), version.alias("_start"),
-    )
-    timeline = asked.unionByName(starts)
-    cuts = position_cuts(timeline, "_at", rows_per_chunk)
-    found = previous_known(timeline, ["system_uuid"], ["_at", "_rank", "topic", "offset"], "_start", "_version", cuts)
-    return (
-        found.filter("_rank = 1 and _version is not null")
-        .filter(F.col("_version.v_to").isNull() | (F.col("_at") < F.col("_version.v_to")))
-        .select("_row.*", "_version.*")
+    follow = materialize(versions.join(ends.filter(many).select("system_uuid"), "system_uuid").select(
+        "system_uuid", F.col("source_step").alias("_later"), F.struct(*_OF_STEP).alias("_version")
+    ))
+    now = lambda c: F.when(F.col("_later").isNull(), F.col(c)).otherwise(F.col("_version")[c]).alias(c)
+    return steps.join(follow, ["system_uuid", "_later"], "left").select(
+        *points.columns, "system_uuid", *[now(c) for c in _OF_STEP]
     )
 
 
-def _shaped(routed: DataFrame, native: bool, ordinal: Column, uuid: Column) -> DataFrame:
-    return routed.select(
-        "family_id", "version_seq", "state", "v_to", "n_sons", "pos", "topic", "offset",
-        F.col("son_ordinal").alias("sub_ordinal"), F.lit(native).alias("native"),
-        ordinal.alias("reporter_ordinal"), uuid.alias("reporter_uuid"),
-        converted(F.col("report")).alias("attributes"),
-    )
-
-
-def route(
-    reports: DataFrame,
-    members: DataFrame,
-    mode: str,
-    versions_per_join: int = VERSIONS_PER_JOIN,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-) -> DataFrame:
+def route(reports: DataFrame, members: DataFrame, mode: str, few: int = FEW) -> DataFrame:
     """Subscribed reports with the son that reported (E2) and the converted attributes.
 
     A report whose record names its own topic as source is its subscriber's; the membership row
-    says which son takes it. Only reports naming another source look for that son among all sons
-    of the version. ``reporter_uuid`` is null where the family has no such son.
+    says which son takes it. A report naming another source looks for that son among all sons
+    of the version; the others have no key to look for. ``reporter_uuid`` is null where the family has no such son.
     """
-    return identified(heard(reports, members, mode, versions_per_join, rows_per_chunk), members)
-
-
-def heard(
-    reports: DataFrame,
-    members: DataFrame,
-    mode: str,
-    versions_per_join: int = VERSIONS_PER_JOIN,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
-) -> DataFrame:
-    """The one join of the reports with the versions subscribed to them."""
-    many = restless_sources(members, versions_per_join) if mode == "resume" else None
-    return subscribed(reports, members, mode, many, rows_per_chunk)
-
-
-def identified(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows of ``heard`` with the son that reported; it reads them twice, so write them first where they are large."""
-    native = _shaped(rows.filter(_native()), True, F.col("same_source_ordinal"), F.col("same_source_uuid"))
+    rows = subscribed(_shaped(reports), members, mode, few).withColumn("_id", F.when(~F.col("native"), F.col("reports_id")))
     sons = members.filter(F.col("son_ordinal") == F.col("same_source_ordinal")).select(
-        F.col("family_id").alias("_family"), F.col("version_seq").alias("_seq"), F.col("sensor_id").alias("_sensor"),
-        F.col("reports_id").alias("_reports"), F.col("son_ordinal").alias("_ordinal"), F.col("system_uuid").alias("_uuid"),
+        "family_id", "version_seq", F.col("sensor_id").alias("_named"), F.col("reports_id").alias("_id"),
+        F.col("son_ordinal").alias("_ordinal"), F.col("system_uuid").alias("_uuid"),
     )
-    other = rows.filter(~_native()).join(
-        sons,
-        (F.col("family_id") == F.col("_family")) & (F.col("version_seq") == F.col("_seq"))
-        & (F.col("report.basicAttributes.sourceName") == F.col("_sensor"))
-        & (F.col("report.externalSystemID") == F.col("_reports")),
-        "left",
+    taken = lambda own, other: F.when(F.col("native"), F.col(own)).otherwise(F.col(other))
+    return rows.join(sons, ["family_id", "version_seq", "_named", "_id"], "left").select(
+        "family_id", "version_seq", "state", "v_to", "n_sons", "pos", "topic", "offset",
+        F.col("son_ordinal").alias("sub_ordinal"), "native",
+        taken("same_source_ordinal", "_ordinal").alias("reporter_ordinal"),
+        taken("same_source_uuid", "_uuid").alias("reporter_uuid"), "attributes",
     )
-    return native.unionByName(_shaped(other, False, F.col("_ordinal"), F.col("_uuid")))
 
 
 def accepted(routed: DataFrame) -> DataFrame:

@@ -28,22 +28,25 @@ class Fusion:
     def members(self) -> DataFrame:
         return self.lifecycle.members
 
-    @cached_property
-    def heard(self) -> DataFrame:
-        """Written once: every output starts from it, and the reports are scanned for it alone."""
-        return materialize(routing.heard(self.reports, self.members, self.mode))
-
     @cached_property
     def routed(self) -> DataFrame:
-        return routing.identified(self.heard, self.members)
+        """Written once, as what is computed from it reads it several times."""
+        return materialize(self._route())
+
+    def _route(self) -> DataFrame:
+        return routing.route(self.reports, self.members, self.mode)
+
+    def _routed_once(self) -> DataFrame:
+        """For a consumer that reads the rows once: the written table only where there is one already."""
+        return self.routed if "routed" in self.__dict__ else self._route()
 
     @cached_property
     def accepted(self) -> DataFrame:
-        return routing.accepted(self.routed)
+        return routing.accepted(self._routed_once())
 
     @cached_property
     def rejected_reports(self) -> DataFrame:
-        return routing.rejected(self.routed)
+        return routing.rejected(self._routed_once())
 
     @property
     def _rule(self) -> str:

@@ -49,7 +49,7 @@ def test_hot_families_and_sources_in_chunks(spark, mode, seeds):
     """Tiny limits force the paths for hot keys; the records stay the same."""
     events, reports = random_control(3, n_events=60, n_topics=2, n_ids=1), random_reports(3, n_topics=2, n_ids=1)
     life, model = lifecycle(control_frame(spark, events)), Registry(events)
-    routed = routing.route(reports_frame(spark, reports), life.members, mode, versions_per_join=1, rows_per_chunk=20)
+    routed = routing.route(reports_frame(spark, reports), life.members, mode, few=1)
     seed_rows = families.seeds(routed, life.members, seeds, rows_per_chunk=4)
     got = families.family_records(routed, life.members, seed_rows, record_sons_per_chunk=40)
     wanted, dead = records(model, reports, mode, seeds)
