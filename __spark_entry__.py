@@ -351,7 +351,8 @@ def _streamed_in_two_parts(spark, sf_dir, late):
         rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
         arrived = spark.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/in")
         engine.start(arrived, f"fusion-{uuid.uuid4().hex}", f"{folder}/checkpoint", availableNow=True).awaitTermination()
-    return exploded_records(engine.state.read("updates"))
+    # as the reports gave them; what comes late takes effect at a position further on
+    return exploded_records(engine.state.read("updates").withColumn("pos", F.col("event_pos")))
 
 
 def _event_stream(spark, sf_dir, folder, files=4, per_batch=None):

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import families, routing
-from ..operators.control import fan_in, kind_rank, validate
+from ..operators.control import fan_in, validate
 from ..operators.lifecycle import lifecycle
 from ..plans.fusion import DEFAULT_SEEDS
 from ..schemas import CONTROL, REPORT
@@ -30,23 +30,27 @@ def unified(control: DataFrame, reports: DataFrame) -> DataFrame:
     return fan_in(control, reports.withColumn("kind", F.lit("REPORT")))
 
 
-def _on_arrival(control: DataFrame, seen: int) -> DataFrame:
-    """Late events one after the other above ``seen``; a micro-batch has few control events."""
-    late = control.filter(F.col("pos") <= seen)
-    rank = F.row_number().over(Window.orderBy("pos", kind_rank(F.col("kind")), "topic", "offset"))
-    return control.filter(F.col("pos") > seen).unionByName(
-        late.withColumn("pos", (F.lit(seen) + rank).cast("bigint"))
-    )
+def _as_given(rows: DataFrame, shift: int, seen: int, past: DataFrame | None) -> DataFrame:
+    """Adds ``event_pos``: where a report of this batch stood before it was moved on, or one of the history."""
+    given = F.col("pos") - shift
+    if past is None or not shift:
+        return rows.withColumn("event_pos", given)
+    told = past.select("topic", "offset", "pos", F.col("event_pos").alias("_told")).distinct()
+    return rows.join(told, ["topic", "offset", "pos"], "left").withColumn(
+        "event_pos", F.when(F.col("pos") > seen, given).otherwise(F.col("_told"))
+    ).drop("_told")
 
 
 class FusionStream:
     """foreachBatch step with its state (K5); ``start`` runs it as a named query.
 
-    Inside a batch, rows are taken in total order. What comes late, that is at or below a position
-    an earlier batch held, takes effect on arrival, right above everything seen so far: late control
-    events in their own order, each at a position of its own, and late reports at the first of these
-    positions, so that they reach the family that is live then. ``event_pos`` keeps what a control
-    event said. So the records equal those of a batch run whenever the batches are in position order.
+    Rows take effect in the order (batch, position): a batch comes after all earlier ones, and inside it control
+    events and reports stand in their total order. ``pos`` is that order as one number. As long as nothing
+    comes late it is the position itself; a batch that begins at or below what was seen is moved on as a
+    whole, by as much as puts its first row right above everything seen, and so are the batches after it.
+    What comes late thus meets the families that are live on its arrival, before what else its batch holds at higher
+    positions. ``event_pos`` keeps what an event or report said. So updates and refusals are those of
+    a batch run over the moved positions, and those of one over the log itself where nothing is late.
 
     ``publish`` is handed the stored records of a batch and its number; it may be called again for a
     batch that is run again.
@@ -76,12 +80,13 @@ class FusionStream:
 
     def _step(self, batch: DataFrame, batch_id: int) -> None:
         state = self.state
-        seen = state.high_water(batch_id)
-        control = batch.filter("kind <> 'REPORT'").select(*_CONTROL).withColumn("event_pos", F.col("pos"))
-        control = _on_arrival(control, seen)
-        reports = batch.filter("kind = 'REPORT'").select(*_REPORT).withColumn(
-            "pos", F.greatest(F.col("pos"), F.lit(seen + 1))
-        )
+        seen, shift = state.arrival(batch_id)
+        first, last = batch.agg(F.min("pos"), F.max("pos")).first()
+        if first is not None:
+            shift = max(shift, seen + 1 - first)
+        moved = batch.withColumn("event_pos", F.col("pos")).withColumn("pos", F.col("pos") + shift)
+        control = moved.filter("kind <> 'REPORT'").select(*_CONTROL, "event_pos")
+        reports = moved.filter("kind = 'REPORT'").select(*_REPORT, "event_pos")
 
         changed, rejected = self._apply(control, batch_id)
         before = state.current("members", batch_id)
@@ -92,9 +97,10 @@ class FusionStream:
 
         routed = routing.route(reports, listening, self.mode)
         opened = listening.filter(F.col("v_from") > seen)
-        if self.mode == "replay":
+        past = None
+        if self.mode == "replay" and changed is not None and not opened.isEmpty():
             # a version opened now reads its sons from the start: the history it missed
-            past = state.log("reports", batch_id).select(*_REPORT)
+            past = state.history(batch_id, opened.select(F.col("sensor_id").alias("topic")))
             routed = routed.unionByName(routing.route(past, opened, "replay"))
         routed = routed.persist()
 
@@ -113,9 +119,9 @@ class FusionStream:
             routed, listening, start, started=reported.select(*VERSION).distinct()
         )
 
-        state.put_output("updates", records, batch_id)
-        state.put_output("rejected_reports", routing.rejected(routed), batch_id)
-        state.put_output("rejected_events", rejected, batch_id)
+        state.put_output("updates", _as_given(records, shift, seen, past), batch_id)
+        state.put_output("rejected_reports", _as_given(routing.rejected(routed), shift, seen, past), batch_id)
+        state.put_output("rejected_events", rejected.withColumn("event_pos", F.col("pos") - shift), batch_id)
         latest = families.son_latest(routed)
         unheard = seeds.join(latest, [*VERSION, "system_uuid"], "left_anti").select(
             *VERSION, "system_uuid",
@@ -124,11 +130,9 @@ class FusionStream:
         )
         state.put("sons", latest.unionByName(unheard), batch_id)
         if self.mode == "replay":
-            state.put("reports", reports, batch_id)
-        top = fan_in(reports.select("pos"), control.select("pos")).agg(
-            F.greatest(F.max("pos"), F.lit(seen)).cast("bigint").alias("high_water")
-        )
-        state.put("marks", top, batch_id)
+            state.put_history(reports, batch_id)
+        top = seen if last is None else max(seen, last + shift)
+        state.put("marks", batch.sparkSession.createDataFrame([(top, shift)], SCHEMAS["marks"]), batch_id)
         for frame in (routed, seeds, listening):
             frame.unpersist()
 

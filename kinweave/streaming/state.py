@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.routing import RECORD_ORDER
 from ..schemas import CONTROL, GENERAL_ATTRIBUTES, REPORT
@@ -38,9 +38,13 @@ SCHEMAS: dict[str, T.StructType] = {
         + _fields(**dict(zip(RECORD_ORDER, (_LONG, _TEXT, _LONG, _INT))))
         + _fields(attributes=GENERAL_ATTRIBUTES)
     ),
-    "reports": REPORT,
-    "marks": T.StructType(_fields(high_water=_LONG)),
+    # the history that versions opened later read; stored by hashed topic, see ``topic_bucket``
+    "reports": T.StructType(REPORT.fields + _fields(event_pos=_LONG)),
+    # the greatest effective position so far, and how far positions are moved on
+    "marks": T.StructType(_fields(high_water=_LONG, shift=_LONG)),
 }
+#: Folders of one batch's history.
+TOPIC_BUCKETS = 64
 # rows of a later batch replace rows of earlier ones with the same key
 KEYS: dict[str, tuple[str, ...]] = {
     "control": ("event_id",),
@@ -49,6 +53,10 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 
 
+def topic_bucket(topic: Column) -> Column:
+    return F.pmod(F.hash(topic), F.lit(TOPIC_BUCKETS))
+
+
 class StateTables:
     """Tables under one shared folder; keyed ones get a full copy every ``compact_every`` batches."""
 
@@ -57,7 +65,9 @@ class StateTables:
         self.folder = folder.rstrip("/")
         self.compact_every = compact_every
         for name, schema in SCHEMAS.items():
-            self._write(spark.createDataFrame([], schema), name, -1)
+            if name != "reports":
+                self._write(spark.createDataFrame([], schema), name, -1)
+        self.put_history(spark.createDataFrame([], SCHEMAS["reports"]), -1)
 
     def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
@@ -78,6 +88,19 @@ class StateTables:
             return rows.option("basePath", f"{self.folder}/{name}").parquet(*folders)
         return rows.parquet(f"{self.folder}/{name}").filter(F.col("batch") < batch_id)
 
+    def put_history(self, reports: DataFrame, batch_id: int) -> None:
+        """This batch's reports, one folder per topic bucket."""
+        columns = [field.name for field in SCHEMAS["reports"].fields]
+        rows = reports.select(*columns, topic_bucket(F.col("topic")).alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/reports/batch={batch_id}")
+
+    def history(self, batch_id: int, topics: DataFrame) -> DataFrame:
+        """Reports of earlier batches on the topics of a table's column ``topic``; other buckets are not read."""
+        buckets = [row[0] for row in topics.select(topic_bucket(F.col("topic"))).distinct().collect()]
+        schema = T.StructType(SCHEMAS["reports"].fields + _fields(batch=_INT, bucket=_INT))
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/reports")
+        return rows.filter((F.col("batch") < batch_id) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
+
     def prune(self, batch_id: int) -> None:
         """Remove partitions that a compaction made useless; no batch from ``batch_id`` on reads them."""
         for name in KEYS:
@@ -112,11 +135,11 @@ class StateTables:
         """A result table over all batches."""
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
-    def high_water(self, batch_id: int) -> int:
-        """Greatest position any earlier batch held."""
+    def arrival(self, batch_id: int) -> tuple[int, int]:
+        """The greatest effective position any earlier batch held, and how far positions were moved on."""
         # a mark holds the greatest of all batches up to its own
         mark: Sequence | None = self.spark.read.schema(SCHEMAS["marks"]).parquet(f"{self.folder}/marks/batch={batch_id - 1}").first()
-        return -1 if mark is None or mark[0] is None else mark[0]
+        return (-1, 0) if mark is None or mark[0] is None else (mark[0], mark[1])
 
 
-__all__ = ["KEYS", "SCHEMAS", "StateTables"]
+__all__ = ["KEYS", "SCHEMAS", "StateTables", "topic_bucket"]

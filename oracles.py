@@ -101,9 +101,9 @@ FROM records x JOIN reports p ON p.pos = x.pos LEFT JOIN reports k ON k.pos = x.
 
 
 def _late_updates() -> str:
-    """Resume updates where late reports stand right above all rows of the first part.
+    """Resume updates where late reports stand right above all rows of the first part, in the order of their positions.
 
-    ``pos`` numbers the reports in their effective order, ``effective`` is where they take effect.
+    ``pos`` numbers the reports in the order of arrival, ``effective`` is where they take effect; shown is where they are from.
     """
     before, after = _updates("resume").split("reports AS (\n")
     arrived, after = after.split("FROM events)", 1)
@@ -112,12 +112,12 @@ def _late_updates() -> str:
   UNION ALL SELECT half FROM joined) WHERE p < (SELECT CAST(floor(count(*) * 5 / 8) AS BIGINT) FROM events)),
 arrived AS (
 """ + arrived + """FROM events),
-reports AS (SELECT * REPLACE (row_number() OVER (ORDER BY effective, topic, "offset") AS pos) FROM (
+reports AS (SELECT * REPLACE (row_number() OVER (ORDER BY effective, "offset") AS pos) FROM (
   SELECT *, CASE WHEN "offset" % 10 = 7 AND pos <= seen THEN seen + 1 ELSE pos END AS effective
   FROM arrived, first_part_end))""" + after
     for old, new in (
         ("r.pos < m.v_to", "r.effective < m.v_to"), ("r.pos >= m.v_from", "r.effective >= m.v_from"),
-        ("x.version_seq, x.pos,", "x.version_seq, p.effective AS pos,"),
+        ("x.version_seq, x.pos,", 'x.version_seq, p."offset" AS pos,'),
     ):
         assert sql.count(old) == 1, old
         sql = sql.replace(old, new)

@@ -177,3 +177,95 @@ def test_throttle(spark):
     with pytest.raises(ValueError):
         queries.throttled_rate(spark, 300)
     assert CONTROL.fieldNames()[0] == "pos"
+
+
+def test_late_and_timely_events_of_one_batch(spark, tmp_path):
+    """Late CREATE, CREATE and MERGE, and a timely SPLIT of that merge: all hold, as in a batch run."""
+    from .logs import create, event_id, merge, split
+
+    engine = FusionStream(spark, str(tmp_path / "state"), "resume")
+    first = [create(1, "t9", "x9", key="z")]
+    engine.step(unified(control_frame(spark, first), reports_frame(spark, [("t9", 100, 100, "t9", "x9")])), 0)
+    late = [create(3, "t0", "x0", key="a"), create(4, "t1", "x1", key="b")]
+    late.append(merge(5, [event_id(e) for e in late], key="m"))
+    late.append(split(102, event_id(late[2]), key="s"))
+    engine.step(unified(control_frame(spark, late), reports_frame(spark, [("t0", 101, 101, "t0", "x0"), ("t0", 103, 103, "t0", "x0")])), 1)
+    assert engine.state.read("rejected_events").count() == 0
+    rows = sorted((r.event_pos, r.entityID, r.version_seq, r.stateChanges) for r in engine.state.read("updates").collect())
+    assert rows[:-2] == [(100, event_id(first[0]), 1, "NONE")]
+    assert rows[-2:] == [(101, event_id(late[2]), 1, "MERGED"), (103, event_id(late[2]), 2, "SON_TAKEN")]
+
+
+def test_late_reports_keep_their_order(spark, tmp_path):
+    """Of two late reports of one family the later one is its last word, whatever the topics are called."""
+    from .logs import create, event_id, merge
+
+    creates = [create(1, "t0", "x0", key="a"), create(2, "t1", "x1", key="b")]
+    joined = merge(3, [event_id(e) for e in creates], key="m")
+    engine = FusionStream(spark, str(tmp_path / "state"), "resume")
+    engine.step(unified(control_frame(spark, [*creates, joined]), reports_frame(spark, [("t1", 100, 100, "t1", "x1")])), 0)
+    engine.step(unified(control_frame(spark, []), reports_frame(spark, [("t1", 50, 50, "t1", "x1"), ("t0", 60, 60, "t0", "x0")])), 1)
+    rows = engine.state.output("updates", 1).orderBy("pos").collect()
+    assert [r.event_pos for r in rows] == [50, 60]
+    assert [s.entityAttributes.basicAttributes.entityOffset for s in rows[-1].sons] == [60, 50]
+
+
+@pytest.mark.parametrize("mode,seed", [("resume", 31), ("replay", 32)])
+def test_any_arrival_order(spark, tmp_path, mode, seed):
+    """Events and reports dealt to batches at random: what a batch run gives over the order of arrival."""
+    import random
+
+    rng = random.Random(seed)
+    events, reports = random_control(seed, n_events=36), random_reports(seed, n=50, last_pos=45)
+    # an event repeated by the sender arrives with the first of its key, as only that one can be told apart
+    dealt = {}
+    event_batch = [dealt.setdefault(e["event_key"], rng.randrange(3)) for e in events]
+    report_batch = [rng.randrange(3) for _ in reports]
+    engine = FusionStream(spark, str(tmp_path / "state"), mode)
+    seen, shift, moved_events, moved_reports, given = -1, 0, [], [], {}
+    for batch in range(3):
+        own = [e for e, b in zip(events, event_batch) if b == batch]
+        heard = [r for r, b in zip(reports, report_batch) if b == batch]
+        engine.step(unified(control_frame(spark, own), reports_frame(spark, heard)), batch)
+        positions = [e["pos"] for e in own] + [r[2] for r in heard]
+        shift = max(shift, seen + 1 - min(positions))
+        seen = max(positions) + shift
+        moved_events += [dict(e, pos=e["pos"] + shift) for e in own]
+        moved_reports += [(t, o, p + shift, s, x) for t, o, p, s, x in heard]
+        given.update({(t, o, p + shift): p for t, o, p, _, _ in heard})
+    model = Registry(moved_events)
+    wanted, dead = records(model, moved_reports, mode, engine.seed_rule)
+    updates = engine.state.read("updates")
+    # sons' states tell where a report is from, so they are compared by that position
+    told = {p: q for (_, _, p), q in given.items()}
+    shown = sorted((r.entityID, r.version_seq, r.pos, r.topic, r.offset, r.stateChanges, r.event_pos,
+                    tuple((s.entityID, s.entityAttributes and s.entityAttributes.basicAttributes.entityOffset) for s in r.sons))
+                   for r in updates.collect())
+    assert shown == sorted((*r[:5], r[7], given[r[3], r[4], r[2]], tuple((s, p if p is None else told[p]) for s, p in r[8])) for r in wanted)
+    assert dead_rows(engine.state.read("rejected_reports")) == dead
+    refused = {(r.pos, r.offset, r.kind): (r.reason, r.missing_ids or []) for r in engine.state.read("rejected_events").collect()}
+    assert refused == model.rejected
+
+
+def test_history_is_read_only_where_a_version_opened(spark, tmp_path, monkeypatch):
+    from .logs import create, event_id, merge
+
+    creates = [create(1, "t0", "x0", key="a"), create(2, "t1", "x1", key="b"), create(3, "t2", "x2", key="c")]
+    engine = FusionStream(spark, str(tmp_path / "state"), "replay")
+    asked = []
+    history = engine.state.history
+    monkeypatch.setattr(engine.state, "history", lambda batch, topics: asked.append(history(batch, topics)) or asked[-1])
+    told = [(f"t{i}", 10, 10, f"t{i}", f"x{i}") for i in range(3)]
+    engine.step(unified(control_frame(spark, creates), reports_frame(spark, told)), 0)
+    asked.clear()
+    engine.step(unified(control_frame(spark, []), reports_frame(spark, [("t0", 20, 20, "t0", "x0")])), 1)
+    assert not asked
+    joined = merge(30, [event_id(e) for e in creates[:2]], key="m")
+    engine.step(unified(control_frame(spark, [joined]), reports_frame(spark, [])), 2)
+    from kinweave.streaming.state import topic_bucket
+
+    buckets = {r[0] for r in spark.createDataFrame([("t0",), ("t1",)], "topic string").select(topic_bucket(F.col("topic"))).collect()}
+    plan = asked[0]._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert all(str(b) in pruned.split("bucket")[-1] for b in buckets) and "PushedFilters" in plan
+    assert engine.state.output("updates", 2).count() == 3
