@@ -74,13 +74,13 @@ def family_versions(spark, sf_dir):
 
 
 def membership_current(spark, sf_dir):
-    return registry.current(_lifecycle(spark, sf_dir).members).select(*MEMBER_COLUMNS)
+    return registry.current(_lifecycle(spark, sf_dir).sons()).select(*MEMBER_COLUMNS)
 
 
 def membership_asof(spark, sf_dir):
     events = _events(spark, sf_dir)
     position = events.agg(F.floor(F.count(F.lit(1)) * 5 / 8).cast("bigint").alias("n")).scalar()
-    return registry.as_of(_lifecycle(spark, sf_dir).members, position).select(*MEMBER_COLUMNS)
+    return registry.as_of(_lifecycle(spark, sf_dir).sons(), position).select(*MEMBER_COLUMNS)
 
 
 def rejected_events(spark, sf_dir):

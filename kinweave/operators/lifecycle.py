@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,23 +12,51 @@ from ..session import materialize
 from .components import component_labels
 from .control import ORDER, fan_in, validate
 from .genealogy import FOLD_INPUT, FOLD_OUTPUT, fold
+from .intervals import interval_join
 from .ordered import ordinal, position_cuts, previous_known, with_chunk
 
 BLOCK_EVENTS = 1_000_000
 VERSION_ROWS_PER_CHUNK = 2_000_000
 
 
+#: Columns of a version besides its sons.
+_VERSION = ("family_id", "opened_by", "version_seq", *ORDER, "state", "v_to", "n_sons")
+
+
 @dataclass
 class Lifecycle:
-    """``members``: one row per family version and son. ``rejected``: refused control events.
+    """Stored in rows that grow with events and sources, however deep merges nest.
 
-    ``components``: (node, component) of every id that a held merge links to others.
+    ``versions``: one row per family version. A version of one source names it in ``only``; the sons of a merged one are
+    the leaves ``low`` to ``high`` of its merge ``tree``, in order. ``leaves``: which source stands at
+    which place of a tree. ``rejected``: refused control events. ``components``: (node, component) of every id that a
+    held merge links to others.
     """
 
-    members: DataFrame
+    versions: DataFrame
+    leaves: DataFrame
+    sources: DataFrame
+    cuts: list[float]
     rejected: DataFrame
     components: DataFrame
 
+    def sons(self) -> DataFrame:
+        """One row per family version and son, expanded when read: a filter on versions comes first."""
+        version = self.versions.select(*_VERSION, "only", "tree", "low", "high")
+        place = lambda n: n.cast("int").alias("son_ordinal")
+        one = version.filter("only is not null").select(*_VERSION, place(F.lit(0)), F.col("only").alias("system_uuid"))
+        several = interval_join(
+            self.leaves, version.filter("only is null").drop("only"), ["tree"], "ordinal", "low", "high"
+        ).select(*_VERSION, place(F.col("ordinal") - F.col("low")), "system_uuid")
+        return one.unionByName(several).join(self.sources, "system_uuid").withColumn("v_from", F.col("pos")).withColumn(
+            "n_sons", F.col("n_sons").cast("int")
+        )
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """The sons with their history (MEMBERSHIP_COLUMNS); written when first asked for, as its readers are many."""
+        return materialize(_with_history(self.sons(), self.cuts))
+
 
 def _node(family: str, opened_by: str) -> Column:
     return F.concat_ws("/", family, opened_by)
@@ -113,33 +142,28 @@ def _fold_in_blocks(rows: DataFrame, block_events: int) -> DataFrame:
     return fan_in(*facts)
 
 
-def _merge_trees(closes: DataFrame, height: int) -> DataFrame:
-    """(source, node, son_ordinal) for every merged version: the leaves below it, in list order.
+def _merge_forest(closes: DataFrame, merges: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
+    """Where versions stand in their merge tree: (node, tree, low), and (tree, ordinal, system_uuid) of the leaves.
 
-    Ancestors are reached by doubling, so the rounds grow with the logarithm of the tree height.
+    A node's place is the sum of the places on its way up. Ways are doubled, one row per node, so the
+    rounds grow with the logarithm of the tree height and the rows not at all.
     """
     inside = closes.filter("parent is not null").withColumn("node", _node("family_id", "opened_by"))
-    hops = inside.select("node", _node("parent", "parent").alias("up"), F.col("base"))
-    reached = inside.filter("depth = 0").select(
-        F.col("head").alias("source"), "node", F.lit(0).cast("bigint").alias("son_ordinal"),
-        F.lit(False).alias("inner"),
-    )
+    way = inside.select("node", _node("parent", "parent").alias("tree"), F.col("base").alias("low"))
     span = 1
-    while span <= height:
-        climbed = reached.join(hops, "node").select(
-            "source", F.col("up").alias("node"), (F.col("son_ordinal") + F.col("base")).alias("son_ordinal"),
-            F.lit(True).alias("inner"),
-        )
-        reached = reached.union(climbed)
+    while span < height:
+        above = way.select(F.col("node").alias("tree"), F.col("tree").alias("_tree"), F.col("low").alias("_low"))
+        way = materialize(way.join(above, "tree", "left").select(
+            "node", F.coalesce("_tree", "tree").alias("tree"), (F.col("low") + F.coalesce("_low", F.lit(0))).alias("low")
+        ))
         span *= 2
-        if span <= height:
-            next_hops = hops.select("node", F.col("up").alias("_mid"), F.col("base").alias("_base"))
-            further = hops.select(F.col("node").alias("_mid"), "up", "base")
-            hops = materialize(next_hops.join(further, "_mid").select(
-                "node", "up", (F.col("_base") + F.col("base")).alias("base")
-            ))
-            reached = materialize(reached)
-    return reached.filter("inner").select("source", "node", "son_ordinal")
+    leaves = inside.filter("depth = 0").select("node", F.col("head").alias("system_uuid")).join(way, "node").select(
+        "tree", F.col("low").alias("ordinal"), "system_uuid"
+    )
+    roots = merges.select("node").join(way, "node", "left_anti").select(
+        "node", F.col("node").alias("tree"), F.lit(0).cast("bigint").alias("low")
+    )
+    return way.unionByName(roots), leaves
 
 
 def lifecycle(
@@ -206,8 +230,9 @@ def lifecycle(
                 _fold_in_blocks(rows.join(large, "component", "left_semi").select(*columns), block_events)
             )
     facts = materialize(facts)
-    members = _members(creates, facts, version_rows_per_chunk)
-    return Lifecycle(materialize(members), _rejected(checked, mentions, facts), components)
+    versions, leaves, cuts = _versions(creates, facts, version_rows_per_chunk)
+    sources = creates.select("system_uuid", "sensor_id", "reports_id", "data_offset")
+    return Lifecycle(versions, leaves, materialize(sources), cuts, _rejected(checked, mentions, facts), components)
 
 
 def _rejected(checked: DataFrame, mentions: DataFrame, facts: DataFrame) -> DataFrame:
@@ -230,53 +255,52 @@ def _rejected(checked: DataFrame, mentions: DataFrame, facts: DataFrame) -> Data
     )
 
 
-def _members(creates: DataFrame, facts: DataFrame, rows_per_chunk: int) -> DataFrame:
+def _versions(creates: DataFrame, facts: DataFrame, rows_per_chunk: int) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Written tables of versions and leaves, and the chunks in which a source's versions are put in order."""
     closes = facts.filter("fact = 'CLOSE'")
     opens = facts.filter("fact = 'OPEN'")
-    merges = opens.filter("kind = 'MERGE'").select(
-        "family_id", "opened_by", *ORDER, F.col("size").alias("n_sons"),
-        _node("family_id", "opened_by").alias("node"),
-    )
+    merges = opens.filter("kind = 'MERGE'").withColumn("node", _node("family_id", "opened_by"))
     # an OPEN of a split carries the version it closed: its opener, first son and size
-    splits = opens.filter("kind = 'SPLIT'")
+    splits = opens.filter("kind = 'SPLIT'").withColumn("node", _node("family_id", "opened_by"))
     height, turnover = opens.agg(
         F.max(F.when(F.col("kind") == "MERGE", F.col("depth"))), F.sum("size")
     ).first()
-    trees = _merge_trees(closes, height or 0)
+    places, leaves = map(materialize, _merge_forest(closes, merges, height or 0))
 
     taken = splits.select(
         "family_id", F.col("event_id").alias("opened_by"), *ORDER, F.lit("SON_TAKEN").alias("state"),
-        F.col("head").alias("system_uuid"),
+        F.col("head").alias("only"),
     )
-    freed = (
-        splits.filter("size > 1").withColumn("node", _node("family_id", "opened_by"))
-        .join(trees, "node").filter(F.col("source") != F.col("head"))
-        .select(
-            F.col("source").alias("family_id"), F.col("event_id").alias("opened_by"), *ORDER,
-            F.lit("WAS_SPLIT").alias("state"), F.col("source").alias("system_uuid"),
-        )
+    # a split frees all sons but the first
+    parted = splits.filter("size > 1").join(places, "node").select(
+        "tree", (F.col("low") + 1).alias("low"), (F.col("low") + F.col("size")).alias("high"), "event_id", *ORDER
     )
-    # every row but the CREATE ones comes from an opening and one of its sons
-    cuts = position_cuts(opens, "pos", rows_per_chunk, turnover or 0)
-    reopened = ordinal(taken.union(freed), ["family_id"], ORDER, "_nth", cuts).select(
-        "family_id", "opened_by", *ORDER, "state", (F.col("_nth") + 1).alias("version_seq"),
-        F.lit(1).cast("bigint").alias("n_sons"), F.lit(0).cast("bigint").alias("son_ordinal"), "system_uuid",
+    freed = interval_join(leaves, parted, ["tree"], "ordinal", "low", "high").select(
+        F.col("system_uuid").alias("family_id"), F.col("event_id").alias("opened_by"), *ORDER,
+        F.lit("WAS_SPLIT").alias("state"), F.col("system_uuid").alias("only"),
     )
-    created = creates.select(
+    # every member row but the CREATE ones comes from an opening and one of its sons
+    cuts = position_cuts(opens, "pos", rows_per_chunk, turnover or 0)
+    single = lambda rows: rows.withColumn("n_sons", F.lit(1).cast("bigint"))
+    reopened = single(ordinal(taken.union(freed), ["family_id"], ORDER, "_nth", cuts)).withColumn(
+        "version_seq", F.col("_nth") + 1
+    ).drop("_nth")
+    created = single(creates.select(
         F.col("system_uuid").alias("family_id"), F.col("system_uuid").alias("opened_by"), *ORDER,
-        F.lit("NONE").alias("state"), F.lit(1).alias("version_seq"),
-        F.lit(1).cast("bigint").alias("n_sons"), F.lit(0).cast("bigint").alias("son_ordinal"), "system_uuid",
-    )
-    merged = merges.join(trees, "node").select(
+        F.lit("NONE").alias("state"), F.lit(1).alias("version_seq"), F.col("system_uuid").alias("only"),
+    ))
+    merged = merges.join(places, "node").select(
         "family_id", "opened_by", *ORDER, F.lit("MERGED").alias("state"), F.lit(1).alias("version_seq"),
-        "n_sons", "son_ordinal", F.col("source").alias("system_uuid"),
+        F.col("size").alias("n_sons"), "tree", "low", (F.col("low") + F.col("size")).alias("high"),
     )
-    rows = fan_in(created, reopened, merged)
     ends = closes.select("family_id", "opened_by", F.col("pos").alias("v_to"))
-    rows = rows.join(ends, ["family_id", "opened_by"], "left")
-    rows = rows.join(
-        creates.select("system_uuid", "sensor_id", "reports_id", "data_offset"), "system_uuid"
-    ).withColumn("_version", F.struct("family_id", "version_seq"))
+    rows = fan_in(created, reopened, merged).join(ends, ["family_id", "opened_by"], "left")
+    return materialize(rows), leaves, cuts
+
+
+def _with_history(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """Adds each son's earlier version and which son stands for its source."""
+    rows = rows.withColumn("_version", F.struct("family_id", "version_seq"))
     rows = previous_known(rows, ["system_uuid"], ORDER, "_version", "_prev", cuts)
     rows = ordinal(rows, ["system_uuid"], ORDER, "source_step", cuts)
 
@@ -287,11 +311,6 @@ def _members(creates: DataFrame, facts: DataFrame, rows_per_chunk: int) -> DataF
         rows.filter("n_sons = 1").withColumn("_low", F.struct("son_ordinal", "system_uuid"))
     )
     return shaped.select(
-        "family_id", "version_seq", "state", F.col("pos").alias("v_from"), "v_to",
-        F.col("n_sons").cast("int").alias("n_sons"), F.col("son_ordinal").cast("int").alias("son_ordinal"),
-        "system_uuid", "sensor_id", "reports_id", "data_offset",
-        F.col("_low.son_ordinal").cast("int").alias("same_source_ordinal"),
-        F.col("_low.system_uuid").alias("same_source_uuid"),
-        "source_step", F.col("_prev.family_id").alias("prev_family_id"),
-        F.col("_prev.version_seq").alias("prev_version_seq"),
+        "*", F.col("_low.son_ordinal").alias("same_source_ordinal"), F.col("_low.system_uuid").alias("same_source_uuid"),
+        F.col("_prev.family_id").alias("prev_family_id"), F.col("_prev.version_seq").alias("prev_version_seq"),
     ).select(*MEMBERSHIP_COLUMNS)

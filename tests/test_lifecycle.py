@@ -57,6 +57,31 @@ def test_deep_merge_chain(spark):
     check(spark, events, block_events=4, version_rows_per_chunk=6)
 
 
+def test_chained_merges_are_stored_in_linear_rows(spark):
+    """2000 merges, each of the family so far and one more source: two million public rows, a few thousand stored ones."""
+    n = 2000
+    creates = [create(i, "t0", f"x{i}", key=f"c{i}") for i in range(n + 1)]
+    ids = [event_id(e) for e in creates]
+    events, top = list(creates), ids[0]
+    for i in range(1, n + 1):
+        m = merge(10_000 + i, [top, ids[i]], key=f"m{i}")
+        events.append(m)
+        top = event_id(m)
+    life = lifecycle(control_frame(spark, events))
+    assert life.versions.count() == 2 * n + 1 and life.leaves.count() == n + 1
+    assert "members" not in life.__dict__
+    # the sons of the k-th merge are the first k + 1 sources, in order
+    place = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "system_uuid string, place int")
+    got = life.sons().join(place, "system_uuid").groupBy("family_id", "state", "n_sons").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("son_ordinal").alias("ordinals"),
+        F.max(F.when(F.col("state") == "MERGED", F.abs(F.col("place") - F.col("son_ordinal"))).otherwise(0)).alias("off"),
+    ).collect()
+    assert len(got) == 2 * n + 1 and all(r["rows"] == r.n_sons == r.ordinals and r.off == 0 for r in got)
+    assert sorted(r.n_sons for r in got if r.state == "MERGED") == list(range(2, n + 2))
+    live = views.current(life.sons())
+    assert live.count() == n + 1 and live.select("family_id").distinct().count() == 1
+
+
 def test_version_facts(spark):
     life = check(spark, random_control(99, n_events=80))
     live = views.current(life.members)
