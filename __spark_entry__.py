@@ -25,10 +25,11 @@ from kinweave.session import checkpoint_dir, tune  # noqa: E402
 from kinweave.sinks.files import batch_table, write_by_level, write_text  # noqa: E402
 from kinweave.sinks.topics import update_messages  # noqa: E402
 from kinweave.sources.bindings import (  # noqa: E402
-    b1_bad_topics, b1_control, b1_reports, log_lines, table,
+    b1_bad_topics, b1_control, b1_reports, b3_topics, log_lines, table,
 )
 from kinweave.sources.files import lines_of_texts  # noqa: E402
 from kinweave.sources.generators import inclusive_range  # noqa: E402
+from kinweave.sources.topics import fusion_rows, rejected_records as undecodable  # noqa: E402
 from kinweave.streaming.control import stop, throttled_files  # noqa: E402
 from kinweave.streaming.engine import FusionStream, unified  # noqa: E402
 from kinweave.streaming.latest import latest_per_source, latest_rows  # noqa: E402
@@ -158,6 +159,22 @@ def rejected_reports(spark, sf_dir):
     return _fusion(spark, sf_dir, "replay", foreign=True).rejected_reports.drop("sub_ordinal")
 
 
+def rejected_records(spark, sf_dir):
+    """Dead letters of decoding."""
+    rows = b3_topics(_events(spark, sf_dir))
+    return undecodable(rows, F.col("offset")).select(
+        "topic", "offset", "pos", "reason", F.array_join("fields", ",").alias("fields")
+    )
+
+
+def decoded_records(spark, sf_dir):
+    """What decodes of the same topics, as one log."""
+    return fusion_rows(b3_topics(_events(spark, sf_dir)), F.col("offset")).select(
+        "kind", "topic", "offset", "pos", "sourceName", "dataOffset", F.col("report.speed").alias("speed"),
+        F.coalesce("externalSystemID", "report.externalSystemID").alias("external_id"),
+    )
+
+
 def son_latest(spark, sf_dir):
     return families.son_latest(_fusion(spark, sf_dir, "replay").routed).select(
         "family_id", "version_seq", "system_uuid", "pos", *flat_attributes(F.col("attributes"))
@@ -456,6 +473,8 @@ def _own_queries() -> dict[str, Query]:
         "reports_routed_foreign_resume": reports_routed_foreign("resume"),
         "reports_routed_foreign_replay": reports_routed_foreign("replay"),
         "rejected_reports": rejected_reports,
+        "rejected_records": rejected_records,
+        "decoded_records": decoded_records,
         "son_latest": son_latest,
         "preferred_son": preferred_son,
         "family_seeds": family_seeds("replay"),

@@ -11,6 +11,7 @@ from ..schemas import MEMBERSHIP_COLUMNS
 from ..session import materialize
 from .components import component_labels
 from .control import ORDER, fan_in, validate
+from .delta import DeltaLog, newest
 from .genealogy import FOLD_INPUT, FOLD_OUTPUT, fold
 from .intervals import interval_join
 from .ordered import ordinal, position_cuts, previous_known, with_chunk
@@ -90,55 +91,77 @@ def _as_fold_input(rows: DataFrame, **extra: Column) -> DataFrame:
     ])
 
 
+def _standing(sons: DataFrame, moves: DataFrame) -> DataFrame:
+    """(component, source, family_id, freed_by, step): where each named source stands now.
+
+    A source's last known family is followed along the moves that families have made since. Few are left to
+    follow, as every source that is named is written down with the family it ends up in.
+    """
+    at = materialize(sons.select("component", "source", "family_id", F.lit(None).cast("string").alias("freed_by"), "step"))
+    settled = []
+    while True:
+        on = moves.withColumnRenamed("step", "_step").join(
+            at.select("source", "component", "family_id", "step"), ["component", "family_id"]
+        ).filter(F.col("_step") > F.col("step"))
+        first = on.groupBy("component", "source").agg(F.min_by(F.struct("parent", "freed_by", "_step"), "_step").alias("_m"))
+        moved = materialize(first.select(
+            "component", "source",
+            F.when(F.col("_m.freed_by").isNotNull(), F.col("source")).otherwise(F.col("_m.parent")).alias("family_id"),
+            F.col("_m.freed_by").alias("freed_by"), F.col("_m._step").alias("step"),
+        ))
+        settled.append(at.join(moved.select("component", "source"), ["component", "source"], "left_anti"))
+        if moved.isEmpty():
+            return fan_in(*settled)
+        at = moved
+
+
 def _fold_in_blocks(rows: DataFrame, block_events: int) -> DataFrame:
     """Fold of components too large for one task, block after block in position order.
 
-    A task sees the events of one block and the state of the ids they name; the state of all other
-    ids stays in tables.
+    A task sees the events of one block and the state of the ids they name. State is a log of changes: a block
+    writes the families it opened or closed, the sources it named, and where the families it closed went. Sources it
+    did not name move with their family and are looked up when they are named, so what a block writes does
+    not grow with what came before.
     """
     spark = rows.sparkSession
     cuts = position_cuts(rows, "pos", block_events)
     rows = materialize(with_chunk(rows, "pos", cuts, "block"))
-    families = spark.createDataFrame([], "component string, family_id string, opened_by string, head string, size bigint, depth int")
-    sons = spark.createDataFrame([], "component string, source string, family_id string")
+    family = "component string, family_id string, opened_by string, head string, size bigint, depth int, alive boolean"
+    families = DeltaLog(spark, family, ("component", "family_id"))
+    sons = DeltaLog(spark, "component string, source string, family_id string", ("component", "source"))
+    moves = DeltaLog(spark, "component string, family_id string, parent string, freed_by string", ("component", "family_id"))
     facts = []
     for block in range(len(cuts) + 1):
         events = rows.filter(F.col("block") == block).drop("block")
-        named = events.select("component", F.explode("ids").alias("name")).distinct()
-        known_families = families.join(named, (families.family_id == named.name) & (families.component == named.component), "left_semi")
-        known_sons = sons.join(named, (sons.source == named.name) & (sons.component == named.component), "left_semi")
+        named = materialize(events.select("component", F.explode("ids").alias("name")).distinct())
+        standing = materialize(_standing(sons.newest(named.withColumnRenamed("name", "source")), moves.rows()))
+        # a split freed these while nobody named them
+        freed = standing.filter("freed_by is not null").select(
+            "component", F.col("source").alias("family_id"), F.col("freed_by").alias("opened_by"), F.col("source").alias("head"),
+            F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("depth"), F.lit(True).alias("alive"), "step",
+        )
+        known = materialize(newest(
+            families.newest(named.withColumnRenamed("name", "family_id")).unionByName(freed), families.keys
+        ).filter("alive").drop("alive", "step"))
         state = _as_fold_input(
-            known_families, stage=F.lit(0), kind=F.lit("FAMILY"), event_id=F.col("family_id")
+            known, stage=F.lit(0), kind=F.lit("FAMILY"), event_id=F.col("family_id")
         ).union(_as_fold_input(
-            known_sons, stage=F.lit(0), kind=F.lit("SON"), event_id=F.col("source"), opened_by=F.col("family_id")
+            standing, stage=F.lit(0), kind=F.lit("SON"), event_id=F.col("source"), opened_by=F.col("family_id")
         ))
         out = materialize(_fold_rows(events.union(state), hand_over=True))
         facts.append(out.filter(F.col("fact").isin("OPEN", "CLOSE", "MISSING")))
 
-        moves = out.filter("fact = 'MOVE'").select(
-            F.col("family_id"), F.col("parent").alias("_to"), F.col("opened_by").alias("_freed_by")
-        )
-        tracked = out.filter("fact = 'SON'").select("component", F.col("event_id").alias("source"), F.col("opened_by").alias("family_id"))
-        moved = materialize(
-            sons.join(tracked.select("source"), "source", "left_anti")
-            .join(moves, "family_id", "left")
-            .select(
-                "component", "source", "_freed_by",
-                F.when(F.col("_freed_by").isNotNull(), F.col("source"))
-                .otherwise(F.coalesce("_to", "family_id")).alias("family_id"),
-            )
-        )
-        freed = moved.filter("_freed_by is not null").select(
-            "component", "family_id", F.col("_freed_by").alias("opened_by"),
-            F.col("source").alias("head"), F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("depth"),
-        )
         now = out.filter("fact = 'FAMILY'").select(
-            "component", F.col("event_id").alias("family_id"), "opened_by", "head", "size", "depth"
+            "component", F.col("event_id").alias("family_id"), "opened_by", "head", "size", "depth", F.lit(True).alias("alive")
         )
-        families = materialize(fan_in(
-            families.join(known_families.select("family_id"), "family_id", "left_anti"), now, freed
-        ).select("component", "family_id", "opened_by", "head", "size", "depth"))
-        sons = materialize(moved.select("component", "source", "family_id").union(tracked))
+        gone = known.join(now, ["component", "family_id"], "left_anti").withColumn("alive", F.lit(False))
+        families.append(now.unionByName(gone), block)
+        sons.append(out.filter("fact = 'SON'").select(
+            "component", F.col("event_id").alias("source"), F.col("opened_by").alias("family_id")
+        ), block)
+        moves.append(out.filter("fact = 'MOVE'").select(
+            "component", "family_id", "parent", F.col("opened_by").alias("freed_by")
+        ), block)
     return fan_in(*facts)
 
 

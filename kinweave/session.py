@@ -75,11 +75,17 @@ def materialize(df: DataFrame) -> DataFrame:
     table's size, so Catalyst broadcasts it only where it is small.
     """
     spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the checkpoint folder, which goes with the open ``scratch`` scopes."""
     path = f"{checkpoint_dir(spark)}/kinweave-{uuid.uuid4().hex}"
     for paths in _scopes():
         paths.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 _local = threading.local()

@@ -113,6 +113,34 @@ def b1_reports(events: DataFrame, foreign: bool = False) -> DataFrame:
     return events.select(topic.alias("topic"), event_id.alias("offset"), event_id.alias("pos"), report.alias("report"))
 
 
+def b3_topics(events: DataFrame) -> DataFrame:
+    """Raw rows of the topics of B1's creations and reports, as JSON, some of them spoiled.
+
+    By ``event_id % 13``: 1 cut short, 2 no value, 3 without external id, 4 a category that is no symbol, 5 a text as
+    speed. Of the creations, those of every seventh user are cut short.
+    """
+    case, report = F.col("offset") % 13, F.col("report")
+    report = (
+        F.when(case == 3, report.dropFields("externalSystemID").withField("externalSystemID", F.lit(None).cast("string")))
+        .when(case == 4, report.withField("category", F.lit("tank"))).otherwise(report)
+    )
+    text = F.to_json(report)
+    value = (
+        F.when(case == 1, F.expr("substring(_text, 1, length(_text) - 1)")).when(case == 2, F.lit(None).cast("string"))
+        .when(case == 5, F.regexp_replace("_text", '"speed":[^,]*,', '"speed":"fast",')).otherwise(F.col("_text"))
+    )
+    reports = b1_reports(events).withColumn("_text", text).select("topic", "offset", value.cast("binary").alias("value"))
+    sources = b1_sources(events)
+    creation = F.to_json(F.struct(
+        F.col("sensor_id").alias("sourceName"), F.col("reports_id").alias("externalSystemID"), F.col("data_offset").alias("dataOffset")
+    ))
+    cut = F.when(F.col("user_id") % 7 == 0, F.expr("substring(_text, 1, length(_text) - 1)")).otherwise(F.col("_text"))
+    created = sources.withColumn("_text", creation).select(
+        F.lit(CREATION_TOPIC).alias("topic"), F.col("data_offset").alias("offset"), cut.cast("binary").alias("value")
+    )
+    return reports.unionByName(created)
+
+
 def log_lines(events: DataFrame):
     """Events as log lines with a level tag, two tags or none."""
     tag = (

@@ -104,27 +104,90 @@ def avro_schema(schema: T.StructType, name: str = "record") -> str:
     return json.dumps(of(schema, name))
 
 
+# The fields without which a record says nothing; the published schemas have no optional ones.
+REQUIRED = {
+    CREATION_TOPIC: ("sourceName", "externalSystemID", "dataOffset"),
+    MERGE_TOPIC: ("mergedEntitiesId",),
+    SPLIT_TOPIC: ("splittedEntityID",),
+}
+REPORT_REQUIRED = ("basicAttributes.sourceName", "externalSystemID")
+_CORRUPT = "_corrupt"
+
+
+def _opened(rows: DataFrame, topic: str | None, encoding: str) -> DataFrame:
+    """Rows with ``_record``, and ``reason`` and ``fields`` where the value is no record of its topic; None: reports."""
+    schema = GENERAL_ATTRIBUTES if topic is None else PAYLOAD_OF_TOPIC[topic]
+    if encoding == "json":
+        wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+        record = F.from_json(F.col("value").cast("string"), wide, {"columnNameOfCorruptRecord": _CORRUPT})
+        broken = F.col("_record").isNull() | F.col(f"_record.{_CORRUPT}").isNotNull()
+    else:
+        record, broken = decode(F.col("value"), schema, encoding), F.col("_record").isNull()
+
+    def named(bad: dict[str, Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(wrong, F.lit(name)) for name, wrong in bad.items()]))
+
+    names = REPORT_REQUIRED if topic is None else REQUIRED[topic]
+    missing = named({name: F.col(f"_record.{name}").isNull() for name in names})
+    outside = named({
+        name: F.coalesce(~F.col(f"_record.{name}").isin(*symbols), F.lit(False)) for name, symbols in _AVRO_ENUMS.items()
+    }) if topic is None else F.array().cast("array<string>")
+    return (
+        rows.withColumn("_record", record)
+        .withColumn("_broken", F.col("value").isNull() | broken).withColumn("_missing", missing).withColumn("_outside", outside)
+        .withColumn(
+            "reason",
+            F.when(F.col("value").isNull(), "NULL_VALUE").when(F.col("_broken"), "MALFORMED")
+            .when(F.size("_missing") > 0, "MISSING_FIELD").when(F.size("_outside") > 0, "INVALID_ENUM"),
+        )
+        .withColumn("fields", F.when(F.col("reason") == "MISSING_FIELD", F.col("_missing")).when(
+            F.col("reason") == "INVALID_ENUM", F.col("_outside")
+        ))
+    )
+
+
 def control_from_topics(rows: DataFrame, position: Column, encoding: str = "json") -> DataFrame:
-    """Raw rows of the three control topics to one typed log."""
+    """Raw rows of the three control topics to one typed log (S7); undecodable ones are in ``rejected_records``."""
 
     def typed(topic: str) -> DataFrame:
-        payload = decode(F.col("value"), PAYLOAD_OF_TOPIC[topic], encoding)
-        return rows.filter(F.col("topic") == topic).select(
+        opened = _opened(rows.filter(F.col("topic") == topic), topic, encoding).filter("reason is null")
+        return opened.select(
             position.cast("bigint").alias("pos"), F.col("offset").cast("bigint").alias("offset"),
-            F.col("offset").cast("string").alias("event_key"), payload.alias("_payload"),
-        ).select("pos", "offset", "event_key", "_payload.*")
+            F.col("offset").cast("string").alias("event_key"),
+            *[F.col(f"_record.{name}").alias(name) for name in PAYLOAD_OF_TOPIC[topic].names],
+        )
 
     return control_union(typed(CREATION_TOPIC), typed(MERGE_TOPIC), typed(SPLIT_TOPIC))
 
 
 def reports_from_topics(rows: DataFrame, position: Column, encoding: str = "json") -> DataFrame:
-    """Raw rows of the sensors' topics to reports."""
-    return rows.select(
-        "topic", F.col("offset").cast("bigint").alias("offset"), position.cast("bigint").alias("pos"),
-        decode(F.col("value"), GENERAL_ATTRIBUTES, encoding).alias("report"),
+    """Raw rows of the sensors' topics to reports; undecodable ones are in ``rejected_records``.
+
+    A report whose nationality or category is outside its symbols is none (E6): no writer of the schema can have made
+    it. An enum that is not given at all stays null.
+    """
+    record = F.struct(*[F.col(f"_record.{name}").alias(name) for name in GENERAL_ATTRIBUTES.names])
+    return _opened(rows, None, encoding).filter("reason is null").select(
+        "topic", F.col("offset").cast("bigint").alias("offset"), position.cast("bigint").alias("pos"), record.alias("report"),
     )
 
 
+def rejected_records(rows: DataFrame, position: Column, encoding: str = "json") -> DataFrame:
+    """Dead letters of decoding (S6): raw rows of any topic that are no record of it, with the reason.
+
+    ``NULL_VALUE``, ``MALFORMED`` (not the encoding, or a field of another type), ``MISSING_FIELD`` and ``INVALID_ENUM``,
+    checked in this order; ``fields`` names the fields of the last two. Each row is either here or decoded.
+    """
+    own = rows.filter(~F.col("topic").isin(*PAYLOAD_OF_TOPIC))
+    parts = [_opened(rows.filter(F.col("topic") == topic), topic, encoding) for topic in PAYLOAD_OF_TOPIC]
+    return fan_in(*[
+        part.filter("reason is not null").select(
+            "topic", F.col("offset").cast("bigint").alias("offset"), position.cast("bigint").alias("pos"), "reason", "fields", "value"
+        )
+        for part in [*parts, _opened(own, None, encoding)]
+    ])
+
+
 def arrival_position() -> Column:
     """Position of a topic row: the time the broker gave it, in microseconds. Ties fall back on topic and offset."""
     return F.unix_micros("timestamp")

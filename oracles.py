@@ -195,6 +195,17 @@ SELECT family_id, version_seq, state, n_sons, pos, topic, "offset", sub_ordinal,
     sql["rejected_reports"] = "WITH" + _routed("replay", True) + """
 SELECT family_id, version_seq, pos, topic, "offset", source_name, external_id, 'FOREIGN_SOURCE' AS reason
 FROM routed WHERE reporter IS NULL"""
+    sql["rejected_records"] = "WITH" + SOURCES + """
+SELECT event_type AS topic, event_id AS "offset", event_id AS pos,
+       CASE event_id % 13 WHEN 2 THEN 'NULL_VALUE' WHEN 3 THEN 'MISSING_FIELD' WHEN 4 THEN 'INVALID_ENUM' ELSE 'MALFORMED' END AS reason,
+       CASE event_id % 13 WHEN 3 THEN 'externalSystemID' WHEN 4 THEN 'category' END AS fields
+FROM events WHERE event_id % 13 BETWEEN 1 AND 5
+UNION ALL SELECT 'creation', data_offset, data_offset, 'MALFORMED', NULL FROM src WHERE user_id % 7 = 0"""
+    sql["decoded_records"] = "WITH" + SOURCES + """
+SELECT 'REPORT' AS kind, event_type AS topic, event_id AS "offset", event_id AS pos, CAST(NULL AS VARCHAR) AS "sourceName",
+       CAST(NULL AS BIGINT) AS "dataOffset", value AS speed, CAST(user_id AS VARCHAR) AS external_id
+FROM events WHERE event_id % 13 NOT BETWEEN 1 AND 5
+UNION ALL SELECT 'CREATE', 'creation', data_offset, data_offset, sensor_id, data_offset, NULL, reports_id FROM src WHERE user_id % 7 <> 0"""
     sql["son_latest"] = "WITH" + _routed("replay") + f""",
 last AS (SELECT family_id, version_seq, reporter AS system_uuid, max(pos) AS pos FROM accepted GROUP BY ALL)
 SELECT l.family_id, l.version_seq, l.system_uuid, l.pos, {_flat('r')} FROM last l JOIN reports r ON r.pos = l.pos"""

@@ -239,6 +239,31 @@ def test_decode_topics(spark):
     assert json.loads(topics.avro_schema(MERGE_EVENT))["fields"][0]["type"] == {"type": "array", "items": "string"}
 
 
+def test_each_row_is_decoded_or_a_dead_letter(spark):
+    good = {"basicAttributes": {"sourceName": "t0"}, "externalSystemID": "x", "speed": 1.5, "category": "boat"}
+    rows = [
+        ("creation", 0, "{broken"), ("creation", 1, '{"sourceName": "t0"}'), ("creation", 2, ""), ("merge", 3, "{}"),
+        ("merge", 4, '{"mergedEntitiesId": "a"}'), ("merge", 5, '{"mergedEntitiesId": []}'), ("split", 6, None),
+        ("split", 7, '{"splittedEntityID": "a"}'), ("t0", 8, json.dumps(good)), ("t0", 9, json.dumps(good)[:-1]),
+        ("t0", 10, json.dumps(good | {"speed": "fast"})), ("t0", 11, json.dumps(good | {"category": "tank", "nationality": "X"})),
+        ("t0", 12, json.dumps({"speed": 2.0})), ("t0", 13, "[]"), ("t0", 14, json.dumps(good | {"more": 1})),
+    ]
+    frame = spark.createDataFrame(rows, "topic string, offset bigint, text string").select(
+        "topic", "offset", F.col("text").cast("binary").alias("value")
+    )
+    dead = {r.offset: (r.reason, r.fields) for r in topics.rejected_records(frame, F.col("offset")).collect()}
+    assert dead == {
+        0: ("MALFORMED", None), 1: ("MISSING_FIELD", ["externalSystemID", "dataOffset"]), 2: ("MALFORMED", None),
+        3: ("MISSING_FIELD", ["mergedEntitiesId"]), 4: ("MALFORMED", None), 6: ("NULL_VALUE", None), 9: ("MALFORMED", None),
+        10: ("MALFORMED", None), 11: ("INVALID_ENUM", ["nationality", "category"]),
+        12: ("MISSING_FIELD", ["basicAttributes.sourceName", "externalSystemID"]), 13: dead[13],
+    }
+    assert dead[13][0] in ("MALFORMED", "MISSING_FIELD")
+    kept = topics.fusion_rows(frame, F.col("offset")).collect()
+    assert sorted(r.offset for r in kept) == [5, 7, 8, 14]
+    assert {r.offset: r.kind for r in kept} == {5: "MERGE", 7: "SPLIT", 8: "REPORT", 14: "REPORT"}
+
+
 def test_report_round_trip_and_conversion(spark):
     reports = reports_frame(spark, [("s1", 4, 9, "s1", "x"), ("s2", 5, 10, "s2", "y")])
     raw = reports.select("topic", "offset", F.to_json("report").cast("binary").alias("value"))

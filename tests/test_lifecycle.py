@@ -43,6 +43,25 @@ def test_large_components_fold_in_blocks(spark, seed, block):
     check(spark, random_control(seed), block_events=block, version_rows_per_chunk=5)
 
 
+def test_blocks_write_what_moved(spark, monkeypatch):
+    """A family of 40 is dissolved unnamed; blocks that name two or three ids write a few rows each, not the 40."""
+    from kinweave.operators import lifecycle as module
+
+    written = []
+    append = module.DeltaLog.append
+    monkeypatch.setattr(module.DeltaLog, "append", lambda self, rows, step: (written.append((step, rows.count())), append(self, rows, step))[1])
+    creates = [create(i, "t0", f"x{i}", key=f"c{i}") for i in range(40)]
+    ids = [event_id(e) for e in creates]
+    whole = merge(100, ids, key="whole")
+    events = [*creates, whole, split(101, event_id(whole), key="apart")]
+    # ids freed without being named since
+    pairs = [merge(200 + i, [ids[2 * i + 1], ids[2 * i + 2]], key=f"p{i}") for i in range(19)]
+    events += pairs + [split(300 + i, event_id(p), key=f"again{i}") for i, p in enumerate(pairs)]
+    check(spark, events, block_events=12)
+    last = max(step for step, _ in written)
+    assert last >= 5 and all(n <= 24 for step, n in written if step == last)
+
+
 def test_deep_merge_chain(spark):
     """A family that grows by one source per event, then falls apart."""
     creates = [create(i, "t0", f"x{i}", key=f"c{i}") for i in range(12)]
