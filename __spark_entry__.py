@@ -18,7 +18,7 @@ from kinweave.operators import families, flows, registry, routing  # noqa: E402
 from kinweave.operators.attributes import converted, flat_attributes, invalid_enum  # noqa: E402
 from kinweave.operators.control import fan_in, validate  # noqa: E402
 from kinweave.operators.lifecycle import Lifecycle, lifecycle  # noqa: E402
-from kinweave.operators.ordered import ordered_concat, position_cuts, take_while_inclusive  # noqa: E402
+from kinweave.operators.ordered import ordered_concat, ordered_pieces, position_cuts, take_while_inclusive  # noqa: E402
 from kinweave.plans.fusion import Fusion, fuse  # noqa: E402
 from kinweave.schemas import ENTITY_FAMILY  # noqa: E402
 from kinweave.session import checkpoint_dir, tune  # noqa: E402
@@ -32,6 +32,7 @@ from kinweave.sources.generators import inclusive_range  # noqa: E402
 from kinweave.sources.topics import fusion_rows, rejected_records as undecodable  # noqa: E402
 from kinweave.streaming.control import stop, throttled_files  # noqa: E402
 from kinweave.streaming.engine import FusionStream, unified  # noqa: E402
+from kinweave.streaming.keyed import switched_by_key, take_while_stream  # noqa: E402
 from kinweave.streaming.latest import latest_per_source, latest_rows  # noqa: E402
 
 MEMBER_COLUMNS = (
@@ -302,6 +303,13 @@ def ordered_fold(spark, sf_dir):
     return ordered_concat(letters, ["user_id"], ["event_id"], "letter", "folded", cuts)
 
 
+def ordered_fold_pieces(spark, sf_dir):
+    """The same fold as placed pieces of 64 events: no cell grows with its user."""
+    letters = _events(spark, sf_dir).select("user_id", "event_id", F.substring("event_type", 1, 1).alias("letter"))
+    cuts = position_cuts(letters, "event_id", 4_000_000)
+    return ordered_pieces(letters, ["user_id"], ["event_id"], "letter", cuts, separator="-", rows_per_piece=64)
+
+
 def tokenize(spark, sf_dir):
     return table(tune(spark), sf_dir, "documents").select(
         "doc_id", F.posexplode(tokens(F.col("text"))).alias("token_no", "token")
@@ -404,6 +412,40 @@ def throttled_stream(spark, sf_dir):
     return arrived.select("event_id", "event_type", batches.alias("n_batches"))
 
 
+def _keyed_in_parts(spark, sf_dir, name, step):
+    """All events through one keyed stream that is stopped and started again between three parts."""
+    folder = _scratch(spark, name)
+    events = _events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    for low, high in _thirds(events):
+        events.filter((F.col("event_id") > low) & (F.col("event_id") <= high)).write.mode("append").parquet(f"{folder}/in")
+        arrived = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        batch_table(step(arrived), f"{folder}/out", f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def _thirds(events):
+    """Ranges of ids that together hold all events."""
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high]
+    return zip(cuts, cuts[1:])
+
+
+def stream_take_while(spark, sf_dir):
+    """As take_while, but what has ended is state that a restarted query finds again."""
+    return _keyed_in_parts(
+        spark, sf_dir, "stream-take-while",
+        lambda rows: take_while_stream(rows, ["user_id"], ["event_id"], F.col("event_type") != "error"),
+    )
+
+
+def stream_killed_by_key(spark, sf_dir):
+    """One query for all users: an error kills its user, a signup starts it again."""
+    action = F.when(F.col("event_type") == "error", False).when(F.col("event_type") == "signup", True)
+    return _keyed_in_parts(
+        spark, sf_dir, "stream-killed", lambda rows: switched_by_key(rows, ["user_id"], ["event_id"], action)
+    )
+
+
 def stop_by_name(spark, sf_dir):
     """Three named pipelines over all events; B is stopped, the others finish undisturbed.
 
@@ -491,6 +533,8 @@ def _own_queries() -> dict[str, Query]:
         "stream_latest": stream_latest,
         "throttled_stream": throttled_stream,
         "stop_by_name": stop_by_name,
+        "stream_take_while": stream_take_while,
+        "stream_killed_by_key": stream_killed_by_key,
         "merged_ranges": merged_ranges,
         "mapped_branches": mapped_branches,
         "tee_suffix": tee_suffix,
@@ -499,6 +543,7 @@ def _own_queries() -> dict[str, Query]:
         "variant_collect": variant_collect,
         "take_while": take_while,
         "ordered_fold": ordered_fold,
+        "ordered_fold_pieces": ordered_fold_pieces,
         "tokenize": tokenize,
         "log_levels": log_levels,
         "file_lines": file_lines,

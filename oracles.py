@@ -275,6 +275,21 @@ SELECT event_id, user_id, event_type FROM (
 WHERE failed = 0"""
     sql["ordered_fold"] = """
 SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY event_id) AS folded FROM events GROUP BY user_id"""
+    sql["ordered_fold_pieces"] = """
+WITH ranked AS (SELECT user_id, event_id, substr(event_type, 1, 1) AS letter,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+pieces AS (SELECT user_id, CAST(n // 64 AS BIGINT) AS piece,
+  CASE WHEN n // 64 > 0 THEN '-' ELSE '' END || string_agg(letter, '-' ORDER BY event_id) AS text
+  FROM ranked GROUP BY user_id, n // 64)
+SELECT user_id, piece, text, CAST(coalesce(sum(length(text)) OVER (
+  PARTITION BY user_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM pieces"""
+    sql["stream_take_while"] = sql["take_while"]
+    sql["stream_killed_by_key"] = """
+SELECT event_id, user_id, event_type FROM (
+  SELECT event_id, user_id, event_type, coalesce(last_value(
+    CASE WHEN event_type IN ('error', 'signup') THEN event_type END IGNORE NULLS) OVER (
+    PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'signup') AS told FROM events)
+WHERE told = 'signup' AND event_type NOT IN ('error', 'signup')"""
     sql["tokenize"] = r"""
 WITH parts AS (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\x0B\f\r]') AS a FROM documents),
 rows AS (SELECT doc_id, len(a) AS n, unnest(a) AS token, generate_subscripts(a, 1) AS i FROM parts),

@@ -12,7 +12,7 @@ from kinweave.functions.numbers import is_prime
 from kinweave.functions.text import framed_lines, log_level, tokens
 from kinweave.operators import flows, routing
 from kinweave.operators.attributes import converted, invalid_enum
-from kinweave.operators.ordered import ordered_concat, ordinal, position_cuts, previous_known, take_while_inclusive
+from kinweave.operators.ordered import ordered_concat, ordered_pieces, ordinal, position_cuts, previous_known, take_while_inclusive
 from kinweave.schemas import DETECTION_EVENT, GENERAL_ATTRIBUTES, MERGE_EVENT
 from kinweave.sinks.files import batch_table, write_by_level, write_text
 from kinweave.sinks.topics import kafka_sink_options, update_messages
@@ -159,6 +159,25 @@ def test_ordered_operators_over_chunks(spark, skewed, limit):
     assert folded == {k: ",".join(str(p) for kk, p, _, _ in rows if kk == k) for k in {r[0] for r in rows}}
 
 
+@pytest.mark.parametrize("limit,size", [(1000, 4096), (50, 16), (7, 1)])
+def test_fold_in_pieces(spark, skewed, monkeypatch, limit, size):
+    """Pieces of a key laid at their starts are its whole fold; no piece holds more than ``size`` rows."""
+    df, rows = skewed
+    monkeypatch.setattr("kinweave.operators.ordered.PIECES_PER_BLOCK", 3)
+    df = df.withColumn("c", F.col("pos").cast("string")).withColumn("k", F.when(F.col("k") != "k3", F.col("k")))
+    df = df.withColumn("c", F.when(F.col("pos") % 9 != 1, F.col("c")))
+    pieces = ordered_pieces(df, ["k"], ["pos", "sub"], "c", position_cuts(df, "pos", limit), separator=", ", rows_per_piece=size)
+    folds = {}
+    for r in sorted(pieces.collect(), key=lambda r: (str(r.k), r.piece)):
+        assert r.start == len(folds.get(r.k, "")) and r.text.count(", ") <= size
+        folds[r.k] = folds.get(r.k, "") + r.text
+    want = {}
+    for k, p, *_ in rows:
+        if p % 9 != 1:
+            want.setdefault(None if k == "k3" else k, []).append(str(p))
+    assert folds == {k: ", ".join(v) for k, v in want.items()}
+
+
 def test_take_while(spark, skewed):
     df, rows = skewed
     got = sorted(r.pos for r in take_while_inclusive(df, ["k"], ["pos"], F.col("pos") % 11 != 10).collect())

@@ -34,7 +34,7 @@ CHECKED = [
     "reports_from_offset", "reports_filtered", "attributes_converted", "reports_routed_foreign_replay",
     "family_seeds_carry", "family_updates_replay", "family_snapshot", "published_updates", "stream_latest",
     "throttled_stream", "stop_by_name", "merged_ranges", "mapped_branches", "tee_suffix", "upper_case", "twin_primes",
-    "variant_collect", "take_while", "ordered_fold", "tokenize", "log_levels", "file_lines",
+    "variant_collect", "take_while", "ordered_fold", "ordered_fold_pieces", "stream_take_while", "stream_killed_by_key", "tokenize", "log_levels", "file_lines",
     "stream_late_updates", "rejected_events_all", "source_registry", "reports_filtered", "text_written", "lines_by_level", "observed_events",
 ]
 
