@@ -55,6 +55,44 @@ def test_random_runs_and_known_forms():
     assert not any(secrets.looks_random(c, encoding, 2.2) for c in clean)
 
 
+def test_readable_text_around_a_secret_does_not_hide_it():
+    encoding = secrets._encoding(secrets.load_ranks(VOCABULARY))
+    rng = random.Random(8)
+    alnum, letters, web = string.ascii_letters + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "-_"
+    for before, kind, n in (
+        ("", alnum, 32), ("deployment/production/service-account/", alnum, 32), ("production_database_connection_string=", alnum, 24),
+        ("", letters, 40), ("", string.ascii_lowercase, 40), ("continuous-integration-credentials-", web, 44),
+    ):
+        caught = 0
+        for _ in range(200):
+            text = "see " + before + "".join(rng.choices(kind, k=n)) + " there"
+            spans = [(a, b) for k, a, b, _ in secrets.secrets_of(text, encoding, 2.2)]
+            caught += sum(min(b, len(text) - 6) - max(a, 4 + len(before)) for a, b in spans) >= 0.75 * n
+        assert caught >= 0.95 * 200, (before, n, caught)
+    clean = [
+        "Donaudampfschifffahrtsgesellschaft", "Rechtsschutzversicherungsgesellschaften", "AbstractSingletonProxyFactoryBean",
+        "XMLHttpRequestEventTarget", "MAXIMUMLENGTHEXCEEDED", "src/main/resources/application-production-v2", "release_1_2_3_4_5_6_7_8_9_10_11",
+        "path/to/d41d8cd98f00b204e9800998ecf8427e/Report", "well-known-and-understood", "a" * 60, "----------------------------",
+    ]
+    for text in clean:
+        assert not [x for x in secrets.secrets_of(text, encoding, 2.2) if x[0] == "random"], text
+
+
+def test_spans_equal_a_plain_search_of_every_text(spark):
+    """All spans of every text, also those that the batch filter passes over."""
+    rng = random.Random(9)
+    encoding = secrets._encoding(secrets.load_ranks(VOCABULARY))
+    rows = secret_rows()
+    for i in range(400, 480):
+        kind = rng.choice([string.ascii_letters, string.ascii_letters + string.digits, string.ascii_lowercase, "ab/_-=1"])
+        rows.append((i, rng.choice(["", "é ", "see/", "x_"]) + "".join(rng.choices(kind, k=rng.randint(10, 50))), "en", "a", 1))
+    got = sorted((str(r.doc_id), r.spans) for r in secrets.scan_report(frame(spark, rows, True), VOCABULARY).collect())
+    want = sorted(
+        (str(i), ",".join(f"{k}:{a}:{b}" for k, a, b, _ in secrets.secrets_of(text or "", encoding, 2.2))) for i, text, *_ in rows
+    )
+    assert got == want and sum("random" in spans for _, spans in got) > 30
+
+
 def test_word_spans_and_hashes_against_plain_python():
     import pyarrow as pa
 
