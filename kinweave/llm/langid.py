@@ -4,7 +4,7 @@ A text is its byte n-grams of lengths two to four in ASCII lower case, where eve
 no letter is a space and n-grams with two spaces in a row do not count, so n-grams know word borders. Each
 hashes to one of 2**BUCKET_BITS embeddings; their mean goes into a softmax over the learned languages.
 Embeddings and weights are trained by stochastic gradient descent in numpy on a bounded sample: the
-PER_LANGUAGE rows of lowest id hash of each language. A fifth of it calibrates: a temperature makes the
+PER_LANGUAGE ids of lowest hash of each language, one row each. A fifth of it calibrates: a temperature makes the
 score the probability of being right, and a row whose score is under MIN_SCORE is rejected. Texts of few
 n-grams have their logits shrunk.
 
@@ -27,6 +27,8 @@ DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
 PER_LANGUAGE = 500
 EPOCHS = 20
+#: Up to so many labels their bounds and the ids chosen are sent to the tasks; more are joined.
+MAX_SENT_LABELS = 1000
 MIN_SCORE = 0.4
 #: A text of so many n-grams counts with half its logits: few n-grams are little evidence.
 SHRINK = 10
@@ -136,27 +138,38 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
         per_language: int = PER_LANGUAGE) -> Classifier | None:
     """A classifier from the rows outside fold 0 whose label is not null; None where there are none.
 
-    The sample is ``per_language`` rows of each label at most, whole texts; only their bucket counts reach
-    the driver.
+    The sample is ``per_language`` ids of each label at most, whole texts, and of an id that has many rows
+    under a label the one of lowest text hash; only bucket counts reach the driver, one row per id chosen. Rows
+    without id are not learned from.
     """
     rows = df.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")
     ).filter((crc_fold(F.col("id"), folds) != 0) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    # the lowest hashes of a label are under a bound that lets some four times as many through, so that
-    # few rows of a frequent label meet in the window; labels are a fixed, short list
+    # the lowest hashes of a label are under a bound that lets some four times as many ids through, so that
+    # few rows of a frequent label meet in the window; ids are counted, as rows of one id share its hash
     bits = 40
     named = rows.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("rank_hash"))
-    share = named.groupBy("label").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
-    near = named.join(F.broadcast(share), "label").filter(F.col("rank_hash") < F.col("share") * float(1 << bits))
+    share = named.groupBy("label").agg((F.lit(4.0 * per_language) / F.approx_count_distinct("id")).alias("share"))
+    sent = share.limit(MAX_SENT_LABELS + 1).collect()
+    few = len(sent) <= MAX_SENT_LABELS
+    if few:
+        share = df.sparkSession.createDataFrame(sent, share.schema)
+    hint = F.broadcast if few else (lambda x: x)
+    near = rows.select("id", "label", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("rank_hash"), F.xxhash64("text").alias("text_hash"))
+    near = near.join(hint(share), "label").filter(F.col("rank_hash") < F.col("share") * float(1 << bits))
     order = Window.partitionBy("label").orderBy("rank_hash", "id")
-    chosen = near.select("id", "label", "rank_hash").distinct().withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= per_language
-    ).drop("rank_hash")
-    # per_language ids of each language: languages are a fixed, short list
-    sample = rows.join(F.broadcast(chosen), ["id", "label"])
+    chosen = near.groupBy("label", "id", "rank_hash").agg(F.min("text_hash").alias("text_hash")).withColumn(
+        "rank", F.row_number().over(order)
+    ).filter(F.col("rank") <= per_language).drop("rank_hash")
+    sample = rows.withColumn("text_hash", F.xxhash64("text")).join(hint(chosen), ["id", "label", "text_hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for part in slices(batches, "text", _SLICE):
+            # a task counts an id that repeats once; its rows here have one text
+            known = list(zip(part.column("label").to_pylist(), part.column("rank").to_pylist()))
+            new = [not (key in seen or seen.add(key)) for key in known]
+            part = part.filter(pa.array(new, pa.bool_()))
             buckets, row = subwords(*text_buffer(part.column("text")))
             key, n = np.unique((row << BUCKET_BITS) | buckets, return_counts=True)
             cuts = np.searchsorted(key >> BUCKET_BITS, np.arange(part.num_rows + 1)).astype(np.int64)
@@ -169,7 +182,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
     found = sample.select("label", "rank", "id", "text").mapInArrow(
         count, "label string, rank int, id string, buckets binary, n binary"
-    ).orderBy("label", "rank", "id", F.hash("buckets")).collect()
+    ).dropDuplicates(["label", "rank"]).orderBy("label", "rank").collect()
     if not found:
         return None
     languages = sorted({r.label for r in found})
@@ -234,11 +247,19 @@ def language_report(df: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def accepted(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, with their columns as they are, whose language is not rejected."""
+    """The rows of ``df``, with their columns as they are, whose language is not rejected.
+
+    Where nothing could be learned no language is rejected: only null texts and those without a letter go.
+    """
     sent = df.sparkSession.sparkContext.broadcast(fit(df))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", _SLICE):
-            yield part.filter(pa.array(~_judge(part.column("text"), sent.value)[2]))
+            if sent.value is None:
+                data, offsets = text_buffer(part.column("text"))
+                raw = data.tobytes()
+                yield part.filter(pa.array([has_letter(raw[a:b]) for a, b in zip(offsets, offsets[1:])], pa.bool_()))
+            else:
+                yield part.filter(pa.array(~_judge(part.column("text"), sent.value)[2]))
 
     return df.mapInArrow(keep, df.schema)

@@ -27,7 +27,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def crc_fold(id_column: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``; a null id counts as fold 1, so it is learned from."""
+    """crc32 of the id as text, modulo ``parts``; a null id counts as fold 1, so it is not held out."""
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(parts)), F.lit(1))
 
 

@@ -69,3 +69,34 @@ def test_awkward_rows(spark):
     assert {r.lang_pred for r in langid.language_report(frame(spark, unlabelled)).collect()} == {"und"}
     kept = langid.accepted(frame(spark, rows, True))
     assert kept.columns == frame(spark, rows, True).columns and kept.filter("doc_id in (60, 61, 62, 300)").count() == 0
+
+
+def test_repeated_rows_make_no_language_vanish(spark):
+    """Three documents of a language, each thousands of times, beside two languages of many documents."""
+    rng = np.random.default_rng(3)
+    vocabulary = {"de": "der die und nicht eine schule haus garten", "en": "the and not school house garden of this", "fr": "les des une ecole maison jardin dans pas"}
+    text = lambda lang: " ".join(rng.choice(vocabulary[lang].split(), 30))
+    rows = [(i, text("de"), "de", "a", 1) for i in (1, 2, 4)] * 4000
+    rows += [(i, text(lang), lang, "a", 1) for lang, first in (("en", 1000), ("fr", 2000)) for i in range(first, first + 300)]
+    # one id with two texts counts once, whatever the order
+    rows += [(1000, "zzz zzz", "en", "a", 1)]
+    model = langid.fit(frame(spark, rows), per_language=50)
+    assert model.languages == ["de", "en", "fr"]
+    again = langid.fit(frame(spark, rows[::-1]), per_language=50)
+    assert np.array_equal(model.logits, again.logits) and model.temperature == again.temperature
+    got = {(r.lang, r.lang_pred) for r in langid.predict(frame(spark, rows[:3] + rows[-101:-1]), model).select("lang", "lang_pred").collect()}
+    assert got == {("de", "de"), ("fr", "fr")}
+
+
+def test_many_labels_are_joined(spark, monkeypatch):
+    rows = awkward_rows()
+    few = langid.fit(frame(spark, rows))
+    monkeypatch.setattr(langid, "MAX_SENT_LABELS", 1)
+    many = langid.fit(frame(spark, rows))
+    assert few.languages == many.languages and len(few.languages) > 1 and np.array_equal(few.logits, many.logits)
+
+
+def test_nothing_learned_rejects_no_language(spark):
+    rows = [(i, t, None, s, n) for i, t, _, s, n in awkward_rows()]
+    kept = langid.accepted(frame(spark, rows)).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(str((i, t)) for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
