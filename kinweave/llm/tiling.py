@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of ASCII letters, digits and non-ASCII bytes in ASCII lower case, so punctuation and case
-hide nothing; in scripts written without spaces each character is a word. A benchmark item and a document that share a seed of MIN_MATCH words are tiled: the longest
+Words are runs of letters, marks and digits of any script in lower case, so punctuation, signs, spaces of any kind
+and case hide nothing; in scripts written without spaces each character is a word. A benchmark item and a document that share a seed of MIN_MATCH words are tiled: the longest
 common run of unmarked words is found by Karp-Rabin hashes, marked in both, and so on down to MIN_MATCH,
 which also catches passages in another order. The item's share of marked words is its coverage; at
 THRESHOLD or more the document leaks the item. An item of fewer than MIN_MATCH words leaks where a document
@@ -16,11 +16,14 @@ tiled, so the tiling never decides less than it would on all pairs.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,9 +46,14 @@ for _byte in range(ord("A"), ord("Z") + 1):
 _PLAIN[0x80:] = np.arange(0x80, 256)
 
 
+def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, cuts) of the words of each text, in lower case of any script."""
+    return word_ids(*text_buffer(pc.utf8_lower(column)))
+
+
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, cuts) of the words of each row."""
-    plain = _PLAIN[data]
+    plain = _without_signs(_PLAIN[data])
     starts, ends, cuts = word_spans(plain, offsets)
     inner = _character_borders(plain)
     if len(inner) and len(starts):
@@ -56,22 +64,41 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return span_hashes(plain, starts, ends), cuts
 
 
+@functools.cache
+def _is_sign() -> np.ndarray:
+    """For each code point whether it is punctuation, a symbol, a space or a control, by its Unicode category."""
+    return np.array([unicodedata.category(chr(point))[0] in "PSZC" for point in range(0x110000)])
+
+
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bytes, code point) of the characters of UTF-8 bytes that are not ASCII."""
+    lead = np.flatnonzero(data >= 0xC0)
+    size = np.where(data[lead] < 0xE0, 2, np.where(data[lead] < 0xF0, 3, 4))
+    point = data[lead].astype(np.int64) & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for k in range(1, 4):
+        more = size > k
+        point[more] = point[more] << 6 | data[lead[more] + k] & 63
+    return lead, size, point
+
+
+def _without_signs(data: np.ndarray) -> np.ndarray:
+    """The bytes with spaces in place of every sign that is not ASCII."""
+    lead, size, point = _code_points(data)
+    if len(lead):
+        own = _is_sign()[point]
+        lead, size = lead[own], size[own]
+        for k in range(4):
+            data[lead[size > k] + k] = ord(" ")
+    return data
+
+
 def _character_borders(data: np.ndarray) -> np.ndarray:
     """Starts and ends of the characters of UNSPACED scripts in UTF-8 bytes."""
-    lead = np.flatnonzero(data >= 0xE0)
-    lead = lead[lead < len(data) - 2]
-    if not len(lead):
-        return lead
-    # the last byte of four does not matter for the ranges
-    first, second, third = (data[lead + k].astype(np.int64) for k in range(3))
-    point = np.where(
-        first < 0xF0, (first & 15) << 12 | (second & 63) << 6 | third & 63, (first & 7) << 18 | (second & 63) << 12 | (third & 63) << 6
-    )
+    lead, size, point = _code_points(data)
     own = np.zeros(len(lead), bool)
     for low, high in UNSPACED:
         own |= (point >= low) & (point <= high)
-    at = lead[own]
-    return np.unique(np.concatenate([at, at + np.where(first[own] < 0xF0, 3, 4)]))
+    return np.unique(np.concatenate([lead[own], lead[own] + size[own]]))
 
 
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -99,22 +126,26 @@ def seeds_of(ids: np.ndarray, size: int = MIN_MATCH) -> np.ndarray:
 def tiles(item: np.ndarray, text: np.ndarray, longest: int | None = None) -> list[tuple[int, int, int]]:
     """(start in item, start in text, words): greedily the longest unmarked common run, MIN_MATCH at least.
 
-    Of equally long runs the first in the item, then in the text, is taken.
+    Of equally long runs the first in the item, then in the text, is taken. Only lengths of which an unmarked common run
+    is left are looked at, found by bisection: where one of some length is, one of each shorter length is.
     """
     found: list[tuple[int, int, int]] = []
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     size = min(len(item), len(text), longest or len(item))
-    while size >= MIN_MATCH:
-        own, other = window_hashes(item, size), window_hashes(text, size)
-        weight = _rescale(len(item), len(text))
-        own, other = own * weight[0], other * weight[1]
+    while size >= MIN_MATCH and _common(item, text, free_item, free_text, MIN_MATCH):
+        low, high = MIN_MATCH, size
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if _common(item, text, free_item, free_text, middle) else (low, middle - 1)
+        size = low
+        own, other = _free_runs(item, free_item, size, len(text)), _free_runs(text, free_text, size, len(item))
         places = defaultdict(list)
-        for at in np.flatnonzero(np.isin(other, own)).tolist():
-            places[int(other[at])].append(at)
-        for at in np.flatnonzero(np.isin(own, other)).tolist() if places else ():
+        for at, key in zip(*(x[np.isin(other[1], own[1])].tolist() for x in other)):
+            places[key].append(at)
+        for at, key in zip(*(x[np.isin(own[1], other[1])].tolist() for x in own)):
             if not free_item[at: at + size].all():
                 continue
-            for to in places[int(own[at])]:
+            for to in places[key]:
                 if free_text[to: to + size].all() and np.array_equal(item[at: at + size], text[to: to + size]):
                     free_item[at: at + size] = False
                     free_text[to: to + size] = False
@@ -124,6 +155,19 @@ def tiles(item: np.ndarray, text: np.ndarray, longest: int | None = None) -> lis
     return found
 
 
+def _free_runs(ids: np.ndarray, free: np.ndarray, size: int, other: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the runs of ``size`` words none of which is marked; hashes to be met with ``other`` words."""
+    marked = np.concatenate([[0], np.cumsum(~free)])
+    at = np.flatnonzero(marked[size:] == marked[:-size])
+    return at, (window_hashes(ids, size) * _rescale(len(ids), other)[0])[at]
+
+
+def _common(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, size: int) -> bool:
+    """Whether an unmarked run of ``size`` words is in both."""
+    own = _free_runs(item, free_item, size, len(text))[1]
+    return bool(len(own)) and bool(np.isin(own, _free_runs(text, free_text, size, len(item))[1]).any())
+
+
 def _rescale(a: int, b: int) -> tuple[np.uint64, np.uint64]:
     """Factors that bring the hashes of sequences of these lengths to a common weight."""
     base, longest = 0x9E3779B97F4A7C15, max(a, b)
@@ -217,7 +261,7 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, done = TaskContext.get().partitionId(), 0
     for batch in batches:
         for piece in slices(iter([batch]), "t", _SLICE):
-            ids, cuts = word_ids(*text_buffer(piece.column("t")))
+            ids, cuts = text_words(piece.column("t"))
             n = piece.num_rows
             words = [ids[lo:hi].astype("<u8").tobytes() for lo, hi in zip(cuts, cuts[1:])]
             place = done + cuts[:-1] - cuts[0]
@@ -266,7 +310,7 @@ def contamination(
         def scan(batches, sent=sent):
             block = sent.value
             for part in slices(batches, "text", _SLICE):
-                found = block.leaks(*word_ids(*text_buffer(part.column("text"))), threshold)
+                found = block.leaks(*text_words(part.column("text")), threshold)
                 at = pa.array([f[0] for f in found], pa.int64())
                 items = [block.items[f[1]] for f in found]
                 yield pa.RecordBatch.from_arrays(
@@ -293,7 +337,7 @@ def without_benchmark(
         def keep(batches, sent=sent):
             for part in slices(batches, text_col, _SLICE):
                 clean = np.ones(part.num_rows, bool)
-                clean[[f[0] for f in sent.value.leaks(*word_ids(*text_buffer(part.column(text_col))), threshold)]] = False
+                clean[[f[0] for f in sent.value.leaks(*text_words(part.column(text_col)), threshold)]] = False
                 yield part.filter(pa.array(clean))
 
         df = (materialize(df) if number else df).mapInArrow(keep, df.schema)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,28 @@ def test_word_ids_ignore_case_and_punctuation():
     assert np.array_equal(ids[cuts[0]:cuts[1]], ids[cuts[1]:cuts[2]]) and ids[cuts[2]] == ids[0] and ids[cuts[2] + 1] != ids[1]
 
 
+def test_signs_and_case_of_any_script_hide_nothing():
+    pairs = [
+        ("he said “hello world again” now", "he said hello world again now"), ("one two—three four", "one two three four"),
+        ("ÉCOLE Öl ΑΒΓ жук", "école öl αβγ ЖУК"), ("a\u00a0b\u2009c…d", "a b c d"), ("«un» ¿dos? „drei“ 5€", "un dos drei 5"),
+        ("我说：“床前明月光”。", "我说床前明月光"), ("🙂x🙂", "x"), ("naïve", "NAÏVE"),
+    ]
+    for one, other in pairs:
+        ids, cuts = tiling.text_words(pa.array([one, None, other, "", one]))
+        assert np.array_equal(ids[cuts[0]:cuts[1]], ids[cuts[2]:cuts[3]]), (one, other)
+        assert np.array_equal(ids[cuts[0]:cuts[1]], ids[cuts[4]:cuts[5]]) and cuts[1] == cuts[2] and cuts[3] == cuts[4]
+
+
+def test_long_items_are_tiled_quickly():
+    rng = np.random.default_rng(4)
+    item = rng.integers(1, 1 << 60, 4000).astype(np.uint64)
+    pieces = np.split(item, np.sort(rng.choice(np.arange(1, 4000), 80, replace=False)))
+    for text, least in ((item, 4000), (np.concatenate([item[2000:], item[:2000]]), 4000), (np.concatenate(pieces[::-1]), 3700)):
+        begun = time.process_time()
+        assert sum(n for _, _, n in tiling.tiles(item, text)) >= least
+        assert time.process_time() - begun < 2
+
+
 def test_short_items_and_scripts_without_spaces_are_matched(spark, monkeypatch):
     items = [(1, "Omega seven"), (2, "床前明月光疑是地上霜"), (3, "ที่นี่มีแมว"), (4, "lambda"), (5, None), (6, "?!"), (7, "𠀀𠀁𠀂𠀃𠀄")]
     texts = ["It is omega, seven!", "omega and seven", "他说床前明月光，疑是地上霜。", "床前", "บอกว่าที่นี่มีแมวดำ", "a lambda", "omega", None, "seven lambdas", "x𠀀𠀁𠀂𠀃𠀄y"]
