@@ -5,6 +5,10 @@ all, so two linked fingerprints share a variant of that segment with one bit lef
 fingerprint is indexed under its 64 variants; equal variants meet in one exchange, are verified bit by
 bit, and each variant's fingerprints hand on a spanning forest of their links, never all pairs. Copies
 share a fingerprint, so a group of copies is one entry of the index however large it is.
+
+Fingerprints that crowd under one variant are met inside the task by three segments of the bits in which they
+vary: linked ones have one of these alike, or alike but for one bit. So what is compared grows with
+the fingerprints and not with their square.
 """
 
 from __future__ import annotations
@@ -23,6 +27,11 @@ from .rawtext import LOWER, slices, text_buffer, word_spans
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
 SHINGLE, SEED = 4, 42
+#: Fingerprints of one key that are compared with one another; more are met by segments of their other bits.
+DIRECT = 2048
+#: With this few bits that vary there are too few different fingerprints to crowd.
+FEW_BITS = 12
+_COMPARED = 1 << 20
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -101,7 +110,19 @@ def _distance(a: np.ndarray, b) -> np.ndarray:
 
 
 def forest(prints: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links of at most ``max_bits`` that keep together what such links join; fewer links than prints."""
+    """Links of at most ``max_bits`` (4 or fewer) that keep together what such links join; fewer links than prints."""
+    vary = int(np.bitwise_or.reduce(prints ^ prints[0])) & (2**64 - 1) if len(prints) else 0
+    if len(prints) <= DIRECT or vary.bit_count() <= FEW_BITS:
+        return _spread(prints, max_bits)
+    bits = np.array([b for b in range(64) if vary >> b & 1], np.uint64)
+    label, links = np.arange(len(prints)), []
+    for segment in np.array_split(bits, len(SEGMENTS)):
+        links += _met_by_segment(prints, np.uint64(1) << segment, label, max_bits)
+    return links
+
+
+def _spread(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """The forest by comparing each print with all that are not reached yet."""
     links, left, queue = [], prints, []
     while len(left):
         if not queue:
@@ -115,6 +136,68 @@ def forest(prints: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]
     return links
 
 
+def _met_by_segment(prints: np.ndarray, bits: np.ndarray, label: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Links among prints that agree in the segment of these bits or differ in one of them.
+
+    ``label`` says which prints are joined so far; only links that join more are returned.
+    """
+    values = prints.view(np.uint64) & np.bitwise_or.reduce(bits)
+    order = np.argsort(values, kind="stable")
+    groups, first, size = np.unique(values[order], return_index=True, return_counts=True)
+    links = []
+
+    def compare(element: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """Each element with a range of the order, so many pairs at a time."""
+        element, start, count = element[count > 0], start[count > 0], count[count > 0]
+        done = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(element):
+            to = max(at + 1, int(np.searchsorted(done, done[at] + _COMPARED, "right")) - 1)
+            a = order[np.repeat(element[at:to], count[at:to])]
+            b = order[np.repeat(start[at:to], count[at:to]) + _within(count[at:to])]
+            near = _distance(prints[a], prints[b]) <= max_bits
+            links.extend(_joining(label, prints, a[near], b[near]))
+            at = to
+
+    # alike in the segment: the later ones of the same group; a crowd goes by its other bits
+    few = size <= DIRECT
+    here = np.repeat(first[few], size[few]) + _within(size[few])
+    ends = np.repeat((first + size)[few], size[few])
+    compare(here, here + 1, ends - here - 1)
+    for at, n in zip(first[~few], size[~few]):
+        crowd = order[at: at + n]
+        place = dict(zip(prints[crowd].tolist(), crowd.tolist()))
+        found = np.array([(place[u], place[v]) for u, v in forest(prints[crowd], max_bits)], np.int64).reshape(-1, 2)
+        links += _joining(label, prints, found[:, 0], found[:, 1])
+    # alike but for one bit: the group with the bit against that without it
+    for bit in bits:
+        without = np.flatnonzero(groups & bit == 0)
+        other = np.minimum(np.searchsorted(groups, groups[without] | bit), len(groups) - 1)
+        met = groups[other] == groups[without] | bit
+        without, other = without[met], other[met]
+        mine = np.repeat(first[without], size[without]) + _within(size[without])
+        compare(mine, np.repeat(first[other], size[without]), np.repeat(size[other], size[without]))
+    return links
+
+
+def _joining(label: np.ndarray, prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between the places ``a`` and ``b`` those that join what is apart; labels become the lowest joined."""
+    links = []
+    while True:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return links
+        high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+        roots, at = np.unique(high, return_index=True)
+        move = np.arange(len(label))
+        move[roots] = low[at]
+        while (move[move] != move).any():
+            move = move[move]
+        label[:] = move[label]
+        links += zip(prints[a[at]].tolist(), prints[b[at]].tolist())
+
+
 def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     """Rows come by key; the last key of a batch waits for the next batch."""
     keys, prints = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -153,18 +236,22 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ).distinct()
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Written (id, fp) of every row, and (fp, low, class) of every fingerprint with the smallest id that has it."""
+    rows = materialize(fingerprint_rows(df, id_col, text_col))
+    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    labels = component_labels(materialize(links(prints.select("fp"))))
+    placed = prints.join(labels, F.col("fp") == F.col("node"), "left")
+    return rows, placed.select("fp", "low", F.coalesce("component", "fp").alias("class"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component, class) for every row: its fingerprint, the smallest id it is linked to and its group.
 
     Null ids are never a smallest id (null where a component has no other); rows that repeat keep their
     place each; texts without words share fingerprint zero. An empty table gives an empty result.
     """
-    rows = materialize(fingerprint_rows(df, id_col, text_col))
-    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    labels = component_labels(materialize(links(prints.select("fp"))))
-    placed = prints.join(labels, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("class")
-    )
+    rows, placed = _classes(df, id_col, text_col)
     lowest = placed.groupBy("class").agg(F.min("low").alias("component"))
     return rows.join(placed.join(lowest, "class").select("fp", "component", "class"), "fp").select("id", "fp", "component", "class")
 
@@ -180,23 +267,27 @@ def near_duplicate_report(df: DataFrame) -> DataFrame:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with one document of each group of near-duplicates: the one of the smallest id.
 
-    Of rows that repeat that id one stays. Rows without id stay only where their group has no id, one
-    for each group.
+    A row without id stays only where its whole group has none. An id may stand for several texts: the kept row
+    is known by id and fingerprint, so each of their groups keeps its row; of rows that repeat both one stays.
     """
-    labels = materialize(near_duplicates(df, id_col, text_col))
-    kept = labels.filter(F.col("id") == F.col("component")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialize(kept.select(F.col("id").alias(id_col), "n"))
-    columns = df.columns
-    # the kept ids grow with the documents: one plan for all sizes, never a broadcast
-    single = df.join(kept.filter("n = 1").select(id_col).hint("merge"), id_col, "left_semi")
-    several = df.join(kept.filter("n > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    nameless = df.filter(F.col(id_col).isNull())
-    lone = labels.filter("component is null").groupBy("class").agg(F.min("fp").alias("fp")).select("fp")
-    taken = {c.lower() for c in columns}
+    rows, placed = _classes(df, id_col, text_col)
+    # a null id comes last; of the fingerprints of one id the lowest
+    first = F.min(F.struct(F.col("low").isNull().alias("nameless"), "low", "fp")).alias("first")
+    kept = placed.groupBy("class").agg(first).select(F.col("first.low").alias("id"), F.col("first.fp").alias("fp"))
+    repeated = rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    kept = materialize(kept.join(repeated.withColumn("repeated", F.lit(True)), "id", "left"))
+
+    columns, taken = df.columns, {c.lower() for c in df.columns}
     own = next(name for name in (f"_print{i}" for i in range(len(taken) + 1)) if name not in taken)
-    lone = lone.withColumnRenamed("fp", f"{own}_kept")
-    lone = _with_print(nameless, text_col, own).join(lone, F.col(own) == F.col(f"{own}_kept"), "left_semi").dropDuplicates([own])
-    return single.select(columns).unionByName(several.select(columns)).unionByName(lone.select(columns))
+    named = lambda ids: ids.select(F.col("id").alias(id_col)).distinct()
+    # the kept ids grow with the documents: one plan for all sizes, never a broadcast
+    single = df.join(named(kept.filter("id is not null and repeated is null")).hint("merge"), id_col, "left_semi")
+    unsure = kept.filter("id is null or repeated").select(F.col("id").alias(f"{own}_id"), F.col("fp").alias(f"{own}_fp"))
+    doubled = df.join(named(kept.filter("repeated")), id_col, "left_semi")
+    told = _with_print(doubled.select(columns).unionByName(df.filter(F.col(id_col).isNull())), text_col, own)
+    here = (F.col(own) == F.col(f"{own}_fp")) & F.col(id_col).eqNullSafe(F.col(f"{own}_id"))
+    told = told.join(unsure, here, "left_semi").dropDuplicates([id_col, own])
+    return single.select(columns).unionByName(told.select(columns))
 
 
 def _with_print(df: DataFrame, text_col: str, name: str) -> DataFrame:

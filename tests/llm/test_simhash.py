@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -96,3 +97,62 @@ def test_near_copies_without_id_leave_one_row(spark):
     assert len(set(low)) < len(prints)
     kept = simhash.one_of_each(frame(spark, [(None, t, "en", "a", 1) for t in texts])).collect()
     assert len(kept) == len(set(low)) == len({low[texts.index(r.text)] for r in kept})
+
+
+def groups_of(prints, links):
+    """The lowest print each one is joined to."""
+    parent = {int(p): int(p) for p in prints}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for u, v in links:
+        a, b = sorted((root(int(u)), root(int(v))))
+        parent[b] = a
+    return {p: root(p) for p in parent}
+
+
+def near_pairs(prints):
+    for at, p in enumerate(prints):
+        for other in prints[at + 1:][np.bitwise_count((prints[at + 1:] ^ p).view(np.uint64)) <= 4]:
+            yield p, other
+
+
+@pytest.mark.parametrize("free_bits,n", [(43, 8000), (22, 4000), (14, 4000)])
+def test_crowded_keys_lose_no_link(free_bits, n):
+    rng = random.Random(free_bits)
+    shared = (rng.getrandbits(64) >> free_bits) << free_bits
+    prints = {shared | rng.getrandbits(free_bits) for _ in range(n)}
+    for p in rng.sample(sorted(prints), len(prints) // 10):
+        for _ in range(3):
+            for b in rng.sample(range(64), rng.randint(1, 4)):
+                p ^= 1 << b
+            prints.add(p)
+    prints = np.array(sorted(prints), np.uint64).view(np.int64)
+    assert len(prints) > simhash.DIRECT
+    found = simhash.forest(prints)
+    assert all(((u ^ v) & (2**64 - 1)).bit_count() <= 4 for u, v in found)
+    want = groups_of(prints, near_pairs(prints))
+    assert groups_of(prints, found) == want
+    assert len(found) == len(prints) - len(set(want.values()))
+
+
+def test_fifty_thousand_prints_under_one_key():
+    rng = random.Random(5)
+    prints = sorted({rng.getrandbits(43) << 21 for _ in range(50_000)})
+    prints += [p ^ 0b11 << 40 for p in prints[:500]]
+    start = time.time()
+    found = simhash.forest(np.array(prints, np.uint64).view(np.int64))
+    assert time.time() - start < 10
+    assert len(found) >= 500
+
+
+def test_an_id_of_two_texts_keeps_both_groups(spark):
+    unlike = ["one text about rivers and their long ways to the sea " * 4, "another text on prices of grain in old towns " * 4]
+    rows = [(1, unlike[0], "en", "a", 1), (1, unlike[1], "en", "a", 1), (2, unlike[0], "en", "a", 1), (3, unlike[1], "en", "a", 1),
+            (1, unlike[0], "en", "a", 1), (None, unlike[0], "en", "a", 1)]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows, clash=True)).collect()]
+    assert sorted(kept) == sorted((1, t) for t in unlike)
