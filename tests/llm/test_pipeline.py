@@ -78,8 +78,18 @@ def test_awkward_rows(spark, tmp_path):
     rows = awkward_rows()
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, None), (None, "a b c d e f")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 0
+    left = [frame(spark, rows)]
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left.append(materialize(stage(spark, left[-1], str(tmp_path))))
+    _, spoken, single, clean = [[(r.doc_id, r.text) for r in t.collect()] for t in left]
+    low = components([(i, fingerprint(t)) for i, t in spoken])
+    lone = {fingerprint(t) for (_, t), c in zip(spoken, low) if c is None}
+    named = sorted({c for c in low if c is not None})
+    assert sorted(i for i, _ in single if i is not None) == named
+    assert {fingerprint(t) for i, t in single if i is None} == lone
+    # no row holds the only item of the benchmark
+    assert sorted(clean, key=str) == sorted(single, key=str)
+    assert {i for r in corpus_pipeline.run(spark, str(tmp_path)).collect() for i in r.doc_ids} <= {i for i, _ in clean}
     frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).agg(F.count("*")).first()[0] == 0
