@@ -5,27 +5,31 @@ Rules read words ``[^\\x20\\x09-\\x0D]+`` of whole texts. The ratio compares two
 corpus. A text's score is the mean log ratio of its grams; it is kept at the threshold or above, the
 KEPT_SHARE quantile of the trusted documents set aside for that.
 
-Raw counts cover every row, summed before the exchange, so only one row per bucket and task moves.
-Trusted rows are TRUSTED ids of lowest hash at most, a bounded set that is sent to every task. The weights
-are one array of fixed length, read by a scalar subquery. Texts are never shuffled, and everything that
-needs a whole text happens inside its row: windows that repeat are neighbours in a sorted array of hashes
-with their positions, and equal hashes are compared word by word.
+Raw counts cover every row and target counts every trusted row not set aside, summed before the exchange, so
+only one row per bucket and task moves. The weights are one array of fixed length, read by a scalar subquery.
+Every row is scored once; the threshold is read from the written scores, so no text moves for it. Texts are
+exchanged by id once, to meet the trusted ids. Everything that needs a whole text happens inside its row:
+windows that repeat are neighbours in a sorted array of hashes with their positions, and equal hashes are
+compared word by word.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 
 BUCKET_BITS = 16
-TRUSTED = 20_000
 CALIBRATION_FOLDS = 5
 SMOOTHING = 1.0
 #: Log ratios are whole multiples of 1 / UNIT.
 UNIT = 1 << 20
 #: Share of trusted documents under the threshold.
 KEPT_SHARE = 0.01
+#: Scores are counted in cells of 1 / CELLS to find the one of the threshold.
+CELLS = 256
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: White space and symbols of the rules (fixed values).
 SPACE = " \t\n\x0b\x0c\r"
@@ -86,23 +90,24 @@ def _grams() -> Column:
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    """(id, calibrates): the ids of quality 1, TRUSTED of lowest hash at most."""
+    """(id, calibrates): the ids of quality 1; those that calibrate are set aside for the threshold."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
-    return good.orderBy(F.xxhash64("id"), "id").limit(TRUSTED).select(
-        "id", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(CALIBRATION_FOLDS)) == 0).alias("calibrates")
-    )
+    return good.select("id", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(CALIBRATION_FOLDS)) == 0).alias("calibrates"))
+
+
+def _bucket_counts(rows: DataFrame, name: str) -> DataFrame:
+    """How often each bucket comes up in the texts of ``rows``."""
+    grams = rows.select(words_of(F.col("text")).alias("words")).select(F.explode(_grams()).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
 def gram_weights(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: the fixed-point log ratios of all 2**BUCKET_BITS buckets, in their order; all 0 without trusted grams."""
     size = 1 << BUCKET_BITS
-    marked = rows.select("id", words_of(F.col("text")).alias("words")).join(
-        F.broadcast(trusted.filter(~F.col("calibrates")).select("id", F.lit(1).alias("target"))), "id", "left"
-    )
-    counted = materialize(
-        marked.select(F.explode(_grams()).alias("bucket"), F.coalesce("target", F.lit(0)).alias("target"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
-    )
+    counts = _bucket_counts(rows, "raw")
+    # the trusted ids grow with the labels, so texts are exchanged once rather than ids sent to all tasks
+    learned = rows.join(trusted.filter(~F.col("calibrates")).select("id").hint("merge"), "id", "left_semi")
+    counted = materialize(counts.join(_bucket_counts(learned, "target"), "bucket", "left").fillna(0, "target"))
     target, raw = counted.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0))).first()
     all_buckets = rows.sparkSession.range(size).withColumnRenamed("id", "bucket").join(F.broadcast(counted), "bucket", "left")
 
@@ -130,6 +135,29 @@ def _scores(rows: DataFrame, weights: DataFrame, kept: list[str]) -> DataFrame:
     return summed.select(*kept, mean.alias("score"))
 
 
+def _quantile(scores: DataFrame, share: float) -> float | None:
+    """The exact quantile of ``score``, between two scores in proportion; None without scores.
+
+    Scores are counted by cells, and only the cells of the one or two scores that are asked for are sorted.
+    """
+    cells = scores.groupBy(F.floor(F.col("score") * CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("n")).sort("cell").collect()
+    if not cells:
+        return None
+    place = share * (sum(cell.n for cell in cells) - 1)
+    low, high, before, wanted = math.floor(place), math.ceil(place), 0, {}
+    for cell, n in cells:
+        wanted |= {rank: (cell, rank - before) for rank in (low, high) if before <= rank < before + n}
+        before += n
+
+    def at(rank):
+        cell, skipped = wanted[rank]
+        own = scores.filter(F.floor(F.col("score") * CELLS) == cell)
+        return own.select("score").sort("score").offset(skipped).first()[0]
+
+    first = at(low)
+    return first if high == low else first + (place - low) * (at(high) - first)
+
+
 def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: rule counts, base_failed, score, and whether the text is kept.
 
@@ -140,11 +168,10 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     trusted = materialize(_trusted(labels))
     weights = gram_weights(rows, trusted)
-    aside = rows.join(F.broadcast(trusted.filter("calibrates").select("id")), "id", "left_semi")
-    aside = aside.select("id", words_of(F.col("text")).alias("words"))
-    threshold = _scores(aside, weights, ["id"]).agg(F.percentile("score", KEPT_SHARE)).first()[0]
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    scored = _scores(_with_rules(rows), weights, ["id", *counts])
+    scored = materialize(_scores(_with_rules(rows), weights, ["id", *counts]))
+    aside = scored.select("id", "score").join(trusted.filter("calibrates").select("id"), "id", "left_semi")
+    threshold = _quantile(aside, KEPT_SHARE)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     verdict = F.col("score") >= F.lit(threshold) if threshold is not None else F.lit(True)
     return scored.select(

@@ -84,3 +84,20 @@ def test_empty_tables(spark):
     rows = awkward_rows()
     got = quality.quality(frame(spark, rows), none).collect()
     assert len(got) == len(rows) and all(r.score == 0 and r.kept == (not r.base_failed) for r in got)
+
+
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality._trusted(labels).count() == 25_000
+
+
+@pytest.mark.parametrize("n", [1, 2, 150, 201])
+def test_threshold_is_the_exact_quantile(spark, n):
+    rng = random.Random(n)
+    scores = spark.createDataFrame([(rng.choice([rng.gauss(0, 2), 0.5]),) for _ in range(n)], "score double")
+    for share in (0.0, 0.01, 0.37, 1.0):
+        want = sorted(r.score for r in scores.collect())
+        place = share * (n - 1)
+        low = want[int(place)]
+        assert quality._quantile(scores, share) == pytest.approx(low + (place % 1) * (want[min(int(place) + 1, n - 1)] - low), abs=1e-12)
+    assert quality._quantile(scores.limit(0), 0.5) is None
