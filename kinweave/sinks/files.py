@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.text import log_level
+from ..streaming.keyed import GatedStream
 
 
 def write_text(df: DataFrame, column: str, path: str) -> int:
@@ -44,10 +45,16 @@ def for_each_batch(
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def batch_table(stream: DataFrame, path: str, checkpoint: str, **options):
-    """A table with one partition per micro-batch; a batch run again overwrites its own (K1, K5)."""
+def batch_table(stream: DataFrame | GatedStream, path: str, checkpoint: str, **options):
+    """A table with one partition per micro-batch; a batch run again overwrites its own (K1, K5).
+
+    Of a gated stream these are the rows that pass; its gates are kept in the checkpoint folder.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if isinstance(stream, GatedStream):
+            stream.write(batch, batch_id, f"{path}/batch={batch_id}", f"{checkpoint}/gates")
+        else:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return for_each_batch(stream, write, checkpoint, **options)
+    return for_each_batch(stream.rows if isinstance(stream, GatedStream) else stream, write, checkpoint, **options)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.sinks.files import batch_table
+from kinweave.streaming import keyed
 from kinweave.streaming.keyed import switched_by_key, take_while_stream
 
 SCHEMA = "k string, pos bigint, big bigint, kind string"
@@ -83,3 +84,31 @@ def test_empty_batch(spark, tmp_path):
     assert arrive(spark, tmp_path, [[], [("a", 1, None, "row")]], lambda s: take_while_stream(s, ["k"], ["pos"], F.lit(True))) == [
         ("a", 1, None, "row")
     ]
+
+
+@pytest.mark.parametrize("final", [True, False])
+def test_a_batch_in_chunks_reads_one_row_per_key(spark, tmp_path, monkeypatch, final):
+    """Chunks of a few rows, gates written anew every other batch, and one row per key and batch as state."""
+    monkeypatch.setattr(keyed, "COMPACT_EVERY", 2)
+    monkeypatch.setattr(keyed.ordered, "ROWS_PER_CHUNK", 20)
+    rng = random.Random(7)
+    kinds = ["row"] * (9 if final else 3) + ["kill", "start"]
+    rows = [(rng.choice(["hot", "hot", "a", "b", None]), pos, None, rng.choice(kinds)) for pos in range(200)]
+    parts, want, dead = [rows[i: i + 40] for i in range(0, 200, 40)], [], set()
+    for key, *rest in rows:
+        if rest[2] == "kill":
+            if final and key not in dead:
+                want.append((key, *rest))
+            dead.add(key)
+        elif rest[2] == "start" and not final:
+            dead.discard(key)
+        elif key not in dead:
+            want.append((key, *rest))
+    action = F.when(F.col("kind") == "kill", False).when(F.col("kind") == "start", True)
+    step = (lambda s: take_while_stream(s, ["k"], ["pos"], F.col("kind") != "kill")) if final else (
+        lambda s: switched_by_key(s, ["k"], ["pos"], action, 4)
+    )
+    assert arrive(spark, tmp_path, parts, step) == want
+    gates = spark.read.parquet(f"{tmp_path}/checkpoint/gates")
+    assert gates.count() == gates.select("_key", "batch").distinct().count() > 0
+    assert gates.agg(F.min("batch")).first()[0] == 2
