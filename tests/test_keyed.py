@@ -112,3 +112,15 @@ def test_a_batch_in_chunks_reads_one_row_per_key(spark, tmp_path, monkeypatch, f
     gates = spark.read.parquet(f"{tmp_path}/checkpoint/gates")
     assert gates.count() == gates.select("_key", "batch").distinct().count() > 0
     assert gates.agg(F.min("batch")).first()[0] == 2
+
+
+def test_a_take_while_moves_no_rows_through_python(spark):
+    rows = spark.createDataFrame([("a", 1, None, "row"), ("a", 2, None, "kill"), ("a", 3, None, "row")], SCHEMA)
+    gated = take_while_stream(rows, ["k"], ["pos"], F.col("kind") != "kill")
+    marked = rows.select(
+        F.struct("k").alias("_key"), F.struct("pos").alias("_at"), gated.mark.alias("_mark"), gated.passes.alias("_passes"), F.struct("*").alias("_row")
+    )
+    kept, ends = gated._taken(marked, ends_before := marked.select("_key", F.lit(True).alias("open")).limit(0))
+    assert ends_before.isEmpty() and [r._row.pos for r in kept.orderBy("_at").collect()] == [1, 2]
+    assert [r.open for r in ends.collect()] == [False]
+    assert "Python" not in kept._jdf.queryExecution().executedPlan().toString()
